@@ -61,6 +61,11 @@ def _source_state(spark: SparkSession, paths: tuple[str, ...]) -> tuple:
     return tuple(files.first())
 
 
+def source_key(spark: SparkSession, name: str, sources: tuple[str, ...]) -> tuple:
+    """Names a result of these files in their present state, in this session."""
+    return (spark.sparkContext.applicationId, name, sources, _source_state(spark, sources))
+
+
 def staged(
     spark: SparkSession, name: str, build: Callable[[], DataFrame], sources: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -71,9 +76,7 @@ def staged(
     costs a re-read instead of the whole lineage. With ``sources`` the table is
     kept for the session and rebuilt when those files change.
     """
-    key = None
-    if sources:
-        key = (spark.sparkContext.applicationId, name, sources, _source_state(spark, sources))
+    key = source_key(spark, name, sources) if sources else None
     path = _STAGED.get(key) if key else None
     if path is None:
         path = f"{shared_folder(spark)}/flightops/{name}-{uuid.uuid4().hex}"
