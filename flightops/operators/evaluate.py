@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from flightops.functions import one_row, ratio
 from flightops.functions.ordered import running_totals
 
-LABEL, PRED, SCORE = "CausedCascade", "Prediction", "CascadeProbability"
+LABEL, PRED, SCORE = "CausedCascade", "PredictedCascade", "CascadeProbability"
 
 
 def confusion_matrix(

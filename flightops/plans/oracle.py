@@ -272,7 +272,7 @@ _TABLES = {
         FROM train GROUP BY Dest""",
     "hcarrier": """
         SELECT UniqueCarrier, avg(ArrDelay) AS CarrierAvgDelay FROM train GROUP BY UniqueCarrier""",
-    "full": """
+    "joined": """
         SELECT FlightId, FlightDate, split, y, score, CASE WHEN score >= 0.5 THEN 1 ELSE 0 END AS pred,
                CAST(floor(CRSDepTime/100.0E0) AS INT) AS Hour,
                CAST(isodow(FlightDate) - 1 AS INT) AS DayOfWeek, Month,
@@ -290,11 +290,11 @@ _TABLES = {
                RouteAvgDepDelay, CarrierAvgDelay, CRSDepTime
         FROM feat LEFT JOIN hroute USING (Origin, Dest) LEFT JOIN horigin USING (Origin)
         LEFT JOIN hdest USING (Dest) LEFT JOIN hcarrier USING (UniqueCarrier)""",
-    "test": "SELECT * FROM full WHERE split = 'test'",
+    "test": "SELECT * FROM joined WHERE split = 'test'",
     "indexed": """
         SELECT *, row_number() OVER (ORDER BY FlightDate, CRSDepTime, FlightId) - 1 AS idx,
                count(*) OVER () AS n
-        FROM full WHERE split = 'train'""",
+        FROM joined WHERE split = 'train'""",
     "folds": """
         SELECT *, CASE WHEN idx >= n - 5*(n//6) THEN (idx - (n - 5*(n//6)))//(n//6) + 1 ELSE 0 END
                  AS fold
@@ -465,15 +465,15 @@ _ORACLE = {
     "prj10_rotation_flags": """
         SELECT FlightId, IsFirstFlight, IsEarlyRotation, IsLateRotation FROM feat""",
     "prj11_select_features": f"""
-        SELECT FlightId, split, {", ".join(_PLAIN)}, {_r6(*_HIST)} FROM full""",
+        SELECT FlightId, split, {", ".join(_PLAIN)}, {_r6(*_HIST)} FROM joined""",
     "prj12_fill_features": """
         SELECT FlightId, coalesce(e, me) AS CRSElapsedTime,
                round_even(coalesce(c, mc)*1000000, 0)/1000000 AS OriginCongestion
         FROM (SELECT FlightId, split, CASE WHEN Distance % 7 <> 0 THEN CRSElapsedTime END AS e,
-                     CASE WHEN Hour <> 12 THEN OriginCongestion END AS c FROM full),
+                     CASE WHEN Hour <> 12 THEN OriginCongestion END AS c FROM joined),
              (SELECT median(CASE WHEN Distance % 7 <> 0 THEN CRSElapsedTime END) AS me,
                      median(CASE WHEN Hour <> 12 THEN OriginCongestion END) AS mc
-              FROM full WHERE split = 'train')""",
+              FROM joined WHERE split = 'train')""",
     "win01_prev_leg": "SELECT FlightId, PrevArrTime, PrevFlightDate, PrevFlightDelay FROM prev",
     "win01_prev_leg_split_runs": """
         SELECT FlightId, PrevArrTime, PrevFlightDate, PrevFlightDelay FROM prev""",
@@ -579,7 +579,7 @@ _ORACLE = {
     "agg25_train_medians": "SELECT " + ", ".join(
         [f"CAST(median({f}) AS DOUBLE) AS {f}" for f in _PLAIN]
         + [f"round_even(median({f})*1000000, 0)/1000000 AS {f}" for f in _HIST]
-    ) + " FROM full WHERE split = 'train'",
+    ) + " FROM joined WHERE split = 'train'",
     "agg26_class_weight": """
         SELECT count(*) FILTER (y=0) AS negatives, count(*) FILTER (y=1) AS positives,
                round_even(count(*) FILTER (y=0)/(1.0E0*count(*) FILTER (y=1))*1000000, 0)/1000000
@@ -640,7 +640,7 @@ _ORACLE = {
                TotalFlights, ConditionalRate FROM rstats LEFT JOIN rprop USING (Route)""",
     "jon04_apply_history": f"""
         SELECT FlightId, {_r6(*_HIST, "RouteMedianDelay", "RouteAvgDepDelay", "CarrierAvgDelay")}
-        FROM full""",
+        FROM joined""",
     "jon05_lookup_history": f"""
         SELECT FlightId, Origin, Dest, {_r6(*_HIST)} FROM (
           SELECT FlightId, a.Origin, a.Dest,
@@ -794,7 +794,7 @@ _ORACLE = {
                round_even(drift*10, 0)/10, CASE WHEN drift < 2 THEN 'WARNING' ELSE 'PASS' END
         FROM (SELECT abs(avg(RouteAvgDelay) FILTER (split='train')
                          - avg(RouteAvgDelay) FILTER (split='test'))
-                     / avg(RouteAvgDelay) FILTER (split='train') * 100 AS drift FROM full)
+                     / avg(RouteAvgDelay) FILTER (split='train') * 100 AS drift FROM joined)
         UNION ALL SELECT 'statistics_source', 'route rows from training data',
                CAST(count(*) AS DOUBLE), 'PASS' FROM hroute
         UNION ALL SELECT 'statistics_source', 'origin rows from training data',
