@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flightops.session import staged
+
 _STEP = 4096
 
 
@@ -46,7 +48,12 @@ def exact_quantiles(df: DataFrame, col: str, quantiles: dict[str, float]) -> Dat
 
     Works on counts of distinct values and never gathers the values in one task.
     """
-    counts = df.filter(F.col(col).isNotNull()).groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
+    # several steps read the counts: stored, so that the rows are scanned once
+    counts = staged(
+        df.sparkSession, "values",
+        lambda: df.filter(F.col(col).isNotNull()).groupBy(col)
+        .agg(F.count(F.lit(1)).alias("_n")),
+    )
     ranked = running_totals(counts, col, ["_n"])
     total = counts.agg(F.sum("_n").alias("_total"))
     picked = ranked.crossJoin(F.broadcast(total))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from flightops.functions import one_row, ratio
 from flightops.functions.ordered import running_totals
+from flightops.session import staged
 
 LABEL, PRED, SCORE = "CausedCascade", "PredictedCascade", "CascadeProbability"
 
@@ -103,8 +104,12 @@ def classification_report(
 
 def _by_score(df: DataFrame, score: str, label: str) -> tuple[DataFrame, DataFrame]:
     """(positives and negatives per distinct score with running totals, their sums)."""
-    counts = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
-        F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
+    # several steps read the counts: stored, so that the flights are scanned once
+    counts = staged(
+        df.sparkSession, "scores",
+        lambda: df.filter(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
+            F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
+        ),
     )
     totals = counts.agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     return running_totals(counts, "threshold", ["pos", "neg"]), totals
@@ -159,9 +164,12 @@ def score_histogram(
     df: DataFrame, score: str = SCORE, label: str = LABEL, bins: int = 50
 ) -> DataFrame:
     """Density of the score by outcome, over each outcome's own range; empty bins are 0."""
-    counts = df.filter(F.col(score).isNotNull()).groupBy(
-        F.col(label).alias("label"), F.col(score).alias("_x")
-    ).agg(F.count(F.lit(1)).alias("_n"))
+    counts = staged(
+        df.sparkSession, "outcome-scores",
+        lambda: df.filter(F.col(score).isNotNull()).groupBy(
+            F.col(label).alias("label"), F.col(score).alias("_x")
+        ).agg(F.count(F.lit(1)).alias("_n")),
+    )
     one_value = F.min("_x") == F.max("_x")  # a single value gets a range of width 1
     ranges = counts.groupBy("label").agg(
         F.when(one_value, F.min("_x") - 0.5).otherwise(F.min("_x")).alias("_low"),

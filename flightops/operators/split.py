@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightops.functions import one_row, ratio, round_to
+from flightops.session import staged
 
 _EPOCH = "2000-01-01"
 
@@ -52,7 +53,10 @@ def with_time_index(df: DataFrame, name: str = "TimeIndex") -> DataFrame:
     two small tables hold how many rows come before that date and that minute.
     """
     earlier = (Window.unboundedPreceding, -1)
-    minutes = df.groupBy("FlightDate", "CRSDepTime").agg(F.count(F.lit(1)).alias("_n"))
+    minutes = staged(
+        df.sparkSession, "minutes",
+        lambda: df.groupBy("FlightDate", "CRSDepTime").agg(F.count(F.lit(1)).alias("_n")),
+    )
     # one row per calendar day, so this unpartitioned window stays small
     days = minutes.groupBy("FlightDate").agg(F.sum("_n").alias("_n")).select(
         "FlightDate",

@@ -6,6 +6,7 @@ the limits (100 flights per route and so on) are the defaults of the operators.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
@@ -63,12 +64,23 @@ def _rotated(spark, folder, **options) -> DataFrame:
     return D.rotated(table_flights(spark, folder), **options)
 
 
+def _walked(spark, folder) -> DataFrame:
+    """Rotated legs, walked once per session."""
+    return D.rotated_legs(table_flights(spark, folder), sources=_sources(folder))
+
+
 def _routes(spark, folder) -> DataFrame:
-    return D.route_table(_measured(spark, folder))
+    return D.route_table(_measured(spark, folder), sources=_sources(folder))
 
 
 def _carriers(spark, folder) -> DataFrame:
-    return D.carrier_table(_measured(spark, folder), table_carriers(spark, folder))
+    return D.carrier_table(
+        _measured(spark, folder), table_carriers(spark, folder), sources=_sources(folder)
+    )
+
+
+def _taxi(spark, folder) -> tuple[DataFrame, DataFrame]:
+    return D.taxi_tables(_measured(spark, folder), sources=_sources(folder))
 
 
 def _cascade(spark, folder) -> DataFrame:
@@ -386,19 +398,19 @@ def _(spark, folder):
 
 @query("agg07_propagation_by_route")
 def _(spark, folder):
-    return M.propagation(_rotated(spark, folder), "Route", LIMITS.min_incoming)
+    return M.propagation(_walked(spark, folder), "Route", LIMITS.min_incoming)
 
 
 @query("agg08_propagation_by_carrier")
 def _(spark, folder):
     return M.with_carrier_name(
-        M.propagation(_rotated(spark, folder), "UniqueCarrier"), table_carriers(spark, folder)
+        M.propagation(_walked(spark, folder), "UniqueCarrier"), table_carriers(spark, folder)
     )
 
 
 @query("agg09_propagation_summary")
 def _(spark, folder):
-    return M.propagation_summary(_rotated(spark, folder))
+    return M.propagation_summary(_walked(spark, folder))
 
 
 @query("agg10_taxi_out_by_origin")
@@ -418,7 +430,7 @@ def _(spark, folder):
 
 @query("agg13_turnaround_by_origin")
 def _(spark, folder):
-    return M.turnaround_by_origin(_rotated(spark, folder))
+    return M.turnaround_by_origin(_walked(spark, folder))
 
 
 @query("agg14_bottleneck_summary")
@@ -428,16 +440,14 @@ def _(spark, folder):
 
 @query("agg15_excess_ground_cost")
 def _(spark, folder):
-    df = _measured(spark, folder)
-    return M.excess_ground_cost(M.taxi_out_by_origin(df), M.taxi_in_by_dest(df))
+    return M.excess_ground_cost(*_taxi(spark, folder))
 
 
 @query("agg16_bottleneck_category_counts")
 def _(spark, folder):
-    df = _measured(spark, folder)
     return M.bottleneck_category_counts(
-        M.taxi_out_by_origin(df), M.taxi_in_by_dest(df), M.airtime_by_route(df),
-        M.turnaround_by_origin(_rotated(spark, folder)),
+        *_taxi(spark, folder), M.airtime_by_route(_measured(spark, folder)),
+        M.turnaround_by_origin(_walked(spark, folder)),
     )
 
 
@@ -494,7 +504,7 @@ def _(spark, folder):
 
 @query("agg27_turnaround_counts")
 def _(spark, folder):
-    return M.turnaround_counts(_rotated(spark, folder))
+    return M.turnaround_counts(_walked(spark, folder))
 
 
 @query("agg28_bottleneck_by_type")
@@ -579,7 +589,7 @@ def _(spark, folder):
 
 @query("scr10_tight_turnaround_rate")
 def _(spark, folder):
-    return M.turnaround_by_origin(_rotated(spark, folder)).select("Origin", "TightTurnaroundRate")
+    return M.turnaround_by_origin(_walked(spark, folder)).select("Origin", "TightTurnaroundRate")
 
 
 @query("scr11_score_bands")
@@ -642,11 +652,11 @@ def _report(name, table, key, by, n, cols, ascending=False):
 
 
 def _taxi_out(spark, folder):
-    return S.taxi_inefficiency(M.taxi_out_by_origin(_measured(spark, folder)), "Out")
+    return _taxi(spark, folder)[0]
 
 
 def _taxi_in(spark, folder):
-    return S.taxi_inefficiency(M.taxi_in_by_dest(_measured(spark, folder)), "In")
+    return _taxi(spark, folder)[1]
 
 
 def _air_time_issues(spark, folder):
@@ -654,17 +664,17 @@ def _air_time_issues(spark, folder):
 
 
 def _route_propagation(spark, folder):
-    return M.propagation(_rotated(spark, folder), "Route", LIMITS.min_incoming)
+    return M.propagation(_walked(spark, folder), "Route", LIMITS.min_incoming)
 
 
 def _carrier_propagation(spark, folder):
     return M.with_carrier_name(
-        M.propagation(_rotated(spark, folder), "UniqueCarrier"), table_carriers(spark, folder)
+        M.propagation(_walked(spark, folder), "UniqueCarrier"), table_carriers(spark, folder)
     )
 
 
 def _turnaround(spark, folder):
-    return M.turnaround_by_origin(_rotated(spark, folder))
+    return M.turnaround_by_origin(_walked(spark, folder))
 
 
 def _weak_routes(spark, folder):
@@ -919,7 +929,7 @@ def _model(spark, folder) -> PipelineModel:
     """A small model, fitted once per session and source and kept in the shared folder."""
     key = source_key(spark, "model", _sources(folder))
     if key not in _MODELS:
-        path = f"{shared_folder(spark)}/flightops/model-{len(_MODELS)}"
+        path = f"{shared_folder(spark)}/flightops/model-{uuid.uuid4().hex}"
         train = _prepared(spark, folder).features.filter(F.col("split") == "train")
         save_model(L.train_cascade(train, **MODEL_PARAMS), path)
         _MODELS[key] = path

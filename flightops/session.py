@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -19,6 +21,9 @@ DEFAULTS = {
     # history and carrier tables are read from files, so their size is known
     # when the join is planned; above this size they are shuffled instead
     "spark.sql.autoBroadcastJoinThreshold": "64m",
+    # percentiles by route keep one small map per group; with thousands of groups the
+    # default of 128 would fall back to sorting all rows of a task
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
     "spark.ui.showConsoleProgress": "false",
 }
 
@@ -45,6 +50,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         folder = tempfile.mkdtemp(prefix="flightops-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -53,6 +59,20 @@ def shared_folder(spark: SparkSession) -> str:
 _STAGED: dict[tuple, str] = {}
 
 
+def _session_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/flightops/{spark.sparkContext.applicationId}"
+
+
+def drop_staged(spark: SparkSession) -> None:
+    """Delete the tables this session staged; frames read from them become unusable."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    app = spark.sparkContext.applicationId
+    for key in [k for k in _STAGED if k[0] == app]:
+        del _STAGED[key]
+
+
 def _source_state(spark: SparkSession, paths: tuple[str, ...]) -> tuple:
     """Count, bytes and newest change of the source files, as one row."""
     files = spark.read.format("binaryFile").load(list(paths)).agg(
@@ -79,7 +99,7 @@ def staged(
     key = source_key(spark, name, sources) if sources else None
     path = _STAGED.get(key) if key else None
     if path is None:
-        path = f"{shared_folder(spark)}/flightops/{name}-{uuid.uuid4().hex}"
+        path = f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
         build().write.parquet(path)
         if key:
             _STAGED[key] = path
