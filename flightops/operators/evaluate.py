@@ -166,7 +166,7 @@ def score_histogram(
     """Density of the score by outcome, over each outcome's own range; empty bins are 0."""
     counts = staged(
         df.sparkSession, "outcome-scores",
-        lambda: df.filter(F.col(score).isNotNull()).groupBy(
+        lambda: df.filter(F.col(score).isNotNull() & F.col(label).isin(0, 1)).groupBy(
             F.col(label).alias("label"), F.col(score).alias("_x")
         ).agg(F.count(F.lit(1)).alias("_n")),
     )
@@ -176,11 +176,11 @@ def score_histogram(
         F.when(one_value, F.max("_x") + 0.5).otherwise(F.max("_x")).alias("_high"),
         F.sum("_n").alias("_total"),
     ).withColumn("_width", (F.col("_high") - F.col("_low")) / bins)
-    # two outcomes x `bins` rows
+    # two outcomes: `ranges` has at most two rows and `grid` two times `bins`
     grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
     place = F.floor((F.col("_x") - F.col("_low")) / F.col("_width")).cast("int")
     filled = (
-        counts.join(ranges, "label")
+        counts.join(F.broadcast(ranges), "label")
         .groupBy("label", F.least(place, F.lit(bins - 1)).alias("bin"))
         .agg(F.sum("_n").alias("_n"))
     )

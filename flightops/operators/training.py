@@ -43,7 +43,9 @@ def train_cascade(
 
     Give a frame read from files: every tree makes several passes over it.
     """
-    shared_folder(train.sparkSession)  # node ids are checkpointed there
+    context = train.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:  # node ids are checkpointed
+        context.setCheckpointDir(shared_folder(train.sparkSession))
     present = [f for f in features if f in train.columns]
     assembler = VectorAssembler(inputCols=present, outputCol="_features")
     trees = GBTClassifier(

@@ -736,6 +736,18 @@ def _(spark, folder):
     return S.chart_frame(_air_time_issues(spark, folder), "AvgAirTimeDeviationPct", "Route", 10)
 
 
+@query("top17_chart_carrier_efficiency")
+def _(spark, folder):
+    return S.top_k(_carriers(spark, folder), "EfficiencyScore", 15, "UniqueCarrier",
+                   cols=("Description", "EfficiencyScore"))
+
+
+@query("top17_chart_carrier_robustness")
+def _(spark, folder):
+    return S.top_k(_carriers(spark, folder), "RobustnessScore", 15, "UniqueCarrier",
+                   cols=("Description", "RobustnessScore"))
+
+
 @query("top17_chart_carrier_propagation")
 def _(spark, folder):
     top = S.chart_frame(_carrier_propagation(spark, folder), "PropagationRate", "UniqueCarrier", 10,

@@ -706,6 +706,10 @@ _ORACLE = {
     "top17_chart_air_time": _top(
         "Route, AvgAirTimeDeviationPct", "(SELECT * FROM airt WHERE HasAirTimeIssue = 1)",
         "AvgAirTimeDeviationPct", 10),
+    "top17_chart_carrier_efficiency": _top(
+        "UniqueCarrier, Description, EfficiencyScore", "ctable", "EfficiencyScore", 15),
+    "top17_chart_carrier_robustness": _top(
+        "UniqueCarrier, Description, RobustnessScore", "ctable", "RobustnessScore", 15),
     "top17_chart_carrier_propagation": """
         SELECT UniqueCarrier, round_even(rate*100*1000000, 0)/1000000 AS PropagationRate
         FROM (SELECT UniqueCarrier, PropagationRate AS rate FROM cprop

@@ -9,7 +9,6 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -65,20 +64,28 @@ def _session_folder(spark: SparkSession) -> str:
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete the tables this session staged; frames read from them become unusable."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(_session_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    fs, folder = _filesystem(spark, _session_folder(spark))
+    fs.delete(folder, True)
     app = spark.sparkContext.applicationId
     for key in [k for k in _STAGED if k[0] == app]:
         del _STAGED[key]
 
 
+def _filesystem(spark: SparkSession, path: str):
+    """(file system, path) of the Hadoop API, which serves every storage Spark reads."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def _source_state(spark: SparkSession, paths: tuple[str, ...]) -> tuple:
-    """Count, bytes and newest change of the source files, as one row."""
-    files = spark.read.format("binaryFile").load(list(paths)).agg(
-        F.count(F.lit(1)), F.sum("length"), F.max("modificationTime")
-    )
-    return tuple(files.first())
+    """Number of files, bytes and last change of each path."""
+    states = []
+    for path in paths:
+        fs, target = _filesystem(spark, path)
+        content = fs.getContentSummary(target)
+        changed = fs.getFileStatus(target).getModificationTime()
+        states.append((content.getFileCount(), content.getLength(), changed))
+    return tuple(states)
 
 
 def source_key(spark: SparkSession, name: str, sources: tuple[str, ...]) -> tuple:

@@ -81,7 +81,11 @@ def table_flights(spark: SparkSession, folder: str) -> DataFrame:
     lines, suppliers = f"{folder}/lineitem.parquet", f"{folder}/supplier.parquet"
 
     def derive() -> DataFrame:
-        return flights_from_lines(spark.read.parquet(lines), spark.read.parquet(suppliers))
+        source = spark.read.parquet(lines)
+        flights = flights_from_lines(source, spark.read.parquet(suppliers))
+        # one small file would keep all later scans on one core
+        slots = spark.sparkContext.defaultParallelism
+        return flights.repartition(slots) if len(source.inputFiles()) < slots else flights
 
     return staged(spark, "flights", derive, (lines, suppliers))
 

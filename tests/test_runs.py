@@ -11,7 +11,7 @@ from flightops.operators import training as L
 from flightops.operators.evaluate import SCORE
 from flightops.plans import descriptive, predictive
 from flightops.schema import FEATURES
-from flightops.session import staged
+from flightops.session import drop_staged, staged
 from flightops.sources import parse_json_requests, sinks, split_bad_requests
 from flightops.sources.tables import table_carriers, table_flights
 from tests.conftest import rows
@@ -107,3 +107,14 @@ def test_staged_tables_follow_their_sources(spark, tmp_path):
     assert staged(spark, "t", build, (source,)).count() == 3 and len(built) == 1
     spark.range(5).write.mode("append").parquet(source)
     assert staged(spark, "t", build, (source,)).count() == 8 and len(built) == 2
+
+
+def test_drop_staged(spark, tmp_path):
+    source = f"{tmp_path}/in"
+    spark.range(3).write.parquet(source)
+    first = staged(spark, "d", lambda: spark.read.parquet(source), (source,))
+    path = Path(first.inputFiles()[0].removeprefix("file://")).parent
+    assert path.exists()
+    drop_staged(spark)
+    assert not path.exists()
+    assert staged(spark, "d", lambda: spark.read.parquet(source), (source,)).count() == 3
