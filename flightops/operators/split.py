@@ -16,8 +16,13 @@ def _day() -> Column:
 
 
 def split_day(df: DataFrame, q: float = 0.75) -> DataFrame:
-    """Day number (since 2000-01-01) at quantile ``q``, interpolated; one row."""
-    return df.agg(F.percentile(_day(), F.lit(q)).alias("split_day"))
+    """Day number (since 2000-01-01) at quantile ``q``, interpolated; one row.
+
+    Legs are counted per date first, so the one task of the percentile sees one row per
+    calendar day.
+    """
+    days = df.groupBy("FlightDate").agg(F.count(F.lit(1)).alias("_n"))
+    return days.agg(F.percentile(_day(), F.lit(q), F.col("_n")).alias("split_day"))
 
 
 def temporal_split(df: DataFrame, q: float = 0.75) -> DataFrame:

@@ -27,10 +27,11 @@ from flightops.operators import training as L
 from flightops.plans import descriptive as D
 from flightops.plans import predictive as Q
 from flightops.schema import FEATURES, HISTORY, LIMITS
-from flightops.session import shared_folder, source_key
+from flightops.session import session_folder, source_key
 from flightops.sources import requests as I
 from flightops.sources.sinks import load_model, save_model
 from flightops.sources.tables import table_carriers, table_flights
+from flightops.streaming import jobs as J
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -925,6 +926,19 @@ def _(spark, folder):
     return _six(V.features_from_raw(parsed, stats), *HISTORY).select("RequestId", *FEATURES)
 
 
+@query("srv04_feature_stream")
+def _(spark, folder):
+    # all requests written as files, then read as a stream until none is left
+    base = f"{session_folder(spark)}/stream-{uuid.uuid4().hex}"
+    _raw_requests(spark, folder).write.json(f"{base}/in")
+    stream = J.request_stream(spark, f"{base}/in", max_files=1000)
+    features = J.feature_stream(stream, _prepared(spark, folder).history)
+    (features.writeStream.format("parquet").outputMode("append")
+     .option("checkpointLocation", f"{base}/progress").trigger(availableNow=True)
+     .start(f"{base}/out").awaitTermination())
+    return _six(spark.read.parquet(f"{base}/out"), *HISTORY)
+
+
 @query("srv02_fixed_tiers")
 def _(spark, folder):
     return T.risk_tiers(_scored(spark, folder), mode="fixed").select(
@@ -941,7 +955,7 @@ def _model(spark, folder) -> PipelineModel:
     """A small model, fitted once per session and source and kept in the shared folder."""
     key = source_key(spark, "model", _sources(folder))
     if key not in _MODELS:
-        path = f"{shared_folder(spark)}/flightops/model-{uuid.uuid4().hex}"
+        path = f"{session_folder(spark)}/model-{uuid.uuid4().hex}"
         train = _prepared(spark, folder).features.filter(F.col("split") == "train")
         save_model(L.train_cascade(train, **MODEL_PARAMS), path)
         _MODELS[key] = path

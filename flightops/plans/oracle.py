@@ -378,6 +378,43 @@ _NUMBERS = ", ".join(
     for i, f in enumerate(FEATURES)
 )
 
+_REQUEST_FEATURES = f"""
+        SELECT RequestId, Hour, DayOfWeek, Month,
+               CASE WHEN DayOfWeek IN (5,6) THEN 1 ELSE 0 END AS IsWeekend,
+               CASE WHEN Hour IN (6,7,8,16,17,18) THEN 1 ELSE 0 END AS IsRushHour,
+               CASE WHEN Hour IN (5,6,7,8) THEN 1 ELSE 0 END AS IsEarlyMorning,
+               CASE WHEN Hour IN (21,22,23,0,1,2) THEN 1 ELSE 0 END AS IsLateNight,
+               Distance, CRSElapsedTime, CASE WHEN Distance < 500 THEN 1 ELSE 0 END AS IsShortHaul,
+               IncomingDelay, CASE WHEN IncomingDelay > 15 THEN 1 ELSE 0 END AS HasIncomingDelay,
+               IncomingDepDelay, TurnaroundMinutes,
+               CASE WHEN TurnaroundMinutes < 60 THEN 1 ELSE 0 END AS TightTurnaround,
+               CASE WHEN TurnaroundMinutes < 45 THEN 1 ELSE 0 END AS CriticalTurnaround,
+               CASE WHEN TurnaroundMinutes - IncomingDelay < 30 THEN 1 ELSE 0 END
+                 AS InsufficientBuffer,
+               PositionInRotation,
+               CASE WHEN PositionInRotation = 1 THEN 1 ELSE 0 END AS IsFirstFlight,
+               CASE WHEN PositionInRotation <= 3 THEN 1 ELSE 0 END AS IsEarlyRotation,
+               CASE WHEN PositionInRotation >= 5 THEN 1 ELSE 0 END AS IsLateRotation,
+               {_r6(*_HIST)}
+        FROM (SELECT a.*,
+                 CASE WHEN r.Origin IS NULL THEN 5.0E0 ELSE RouteAvgDelay END AS RouteAvgDelay,
+                 CASE WHEN r.Origin IS NULL THEN 15.0E0 ELSE RouteStdDelay END AS RouteStdDelay,
+                 CASE WHEN r.Origin IS NULL THEN 70.0E0 ELSE RouteRobustnessScore END
+                   AS RouteRobustnessScore,
+                 CASE WHEN h.Origin IS NULL THEN 8.0E0 ELSE Origin_AvgDepDelay END
+                   AS Origin_AvgDepDelay,
+                 CASE WHEN h.Origin IS NULL THEN 15.0E0 ELSE OriginCongestion END
+                   AS OriginCongestion,
+                 CASE WHEN g.Dest IS NULL THEN 6.0E0 ELSE Dest_AvgArrDelay END AS Dest_AvgArrDelay,
+                 CASE WHEN g.Dest IS NULL THEN 12.0E0 ELSE DestCongestion END AS DestCongestion
+              FROM ({_RAW}) a
+              LEFT JOIN hroute r ON r.Origin = o2 AND r.Dest = d2
+              LEFT JOIN horigin h ON h.Origin = o2 LEFT JOIN hdest g ON g.Dest = d2)"""
+_AS_DOUBLES = (
+    "SELECT RequestId, " + ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in FEATURES)
+    + f" FROM ({_REQUEST_FEATURES})"
+)
+
 _ORACLE = {
     "cln01_split_cancelled": """
         SELECT FlightId, CASE WHEN Cancelled = 0 THEN 'kept' ELSE 'cancelled' END AS part
@@ -821,38 +858,8 @@ _ORACLE = {
     "src07_bad_requests": """
         SELECT 'JSON must have features or a raw flight' AS _error, count(*) AS requests
         FROM flights WHERE FlightNum % 5 = 0 OR FlightNum % 4 = 1""",
-    "srv01_features_from_raw": f"""
-        SELECT RequestId, Hour, DayOfWeek, Month,
-               CASE WHEN DayOfWeek IN (5,6) THEN 1 ELSE 0 END AS IsWeekend,
-               CASE WHEN Hour IN (6,7,8,16,17,18) THEN 1 ELSE 0 END AS IsRushHour,
-               CASE WHEN Hour IN (5,6,7,8) THEN 1 ELSE 0 END AS IsEarlyMorning,
-               CASE WHEN Hour IN (21,22,23,0,1,2) THEN 1 ELSE 0 END AS IsLateNight,
-               Distance, CRSElapsedTime, CASE WHEN Distance < 500 THEN 1 ELSE 0 END AS IsShortHaul,
-               IncomingDelay, CASE WHEN IncomingDelay > 15 THEN 1 ELSE 0 END AS HasIncomingDelay,
-               IncomingDepDelay, TurnaroundMinutes,
-               CASE WHEN TurnaroundMinutes < 60 THEN 1 ELSE 0 END AS TightTurnaround,
-               CASE WHEN TurnaroundMinutes < 45 THEN 1 ELSE 0 END AS CriticalTurnaround,
-               CASE WHEN TurnaroundMinutes - IncomingDelay < 30 THEN 1 ELSE 0 END
-                 AS InsufficientBuffer,
-               PositionInRotation,
-               CASE WHEN PositionInRotation = 1 THEN 1 ELSE 0 END AS IsFirstFlight,
-               CASE WHEN PositionInRotation <= 3 THEN 1 ELSE 0 END AS IsEarlyRotation,
-               CASE WHEN PositionInRotation >= 5 THEN 1 ELSE 0 END AS IsLateRotation,
-               {_r6(*_HIST)}
-        FROM (SELECT a.*,
-                 CASE WHEN r.Origin IS NULL THEN 5.0E0 ELSE RouteAvgDelay END AS RouteAvgDelay,
-                 CASE WHEN r.Origin IS NULL THEN 15.0E0 ELSE RouteStdDelay END AS RouteStdDelay,
-                 CASE WHEN r.Origin IS NULL THEN 70.0E0 ELSE RouteRobustnessScore END
-                   AS RouteRobustnessScore,
-                 CASE WHEN h.Origin IS NULL THEN 8.0E0 ELSE Origin_AvgDepDelay END
-                   AS Origin_AvgDepDelay,
-                 CASE WHEN h.Origin IS NULL THEN 15.0E0 ELSE OriginCongestion END
-                   AS OriginCongestion,
-                 CASE WHEN g.Dest IS NULL THEN 6.0E0 ELSE Dest_AvgArrDelay END AS Dest_AvgArrDelay,
-                 CASE WHEN g.Dest IS NULL THEN 12.0E0 ELSE DestCongestion END AS DestCongestion
-              FROM ({_RAW}) a
-              LEFT JOIN hroute r ON r.Origin = o2 AND r.Dest = d2
-              LEFT JOIN horigin h ON h.Origin = o2 LEFT JOIN hdest g ON g.Dest = d2)""",
+    "srv01_features_from_raw": _REQUEST_FEATURES,
+    "srv04_feature_stream": _AS_DOUBLES,
     "srv02_fixed_tiers": """
         SELECT FlightId, CASE WHEN score >= 0.5 THEN 'CRITICAL' WHEN score >= 0.3 THEN 'HIGH'
                               WHEN score >= 0.15 THEN 'ELEVATED' ELSE 'NORMAL' END AS RiskTier,

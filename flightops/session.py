@@ -30,8 +30,8 @@ DEFAULTS = {
 def build_session(app: str = "flightops", master: str | None = None, **conf) -> SparkSession:
     """Session with the package defaults; ``conf`` keys use ``__`` for ``.``.
 
-    ``spark.sql.shuffle.partitions`` is left to the cluster: AQE merges small
-    partitions, so set it high (2-3x the cores) for large inputs.
+    ``spark.sql.shuffle.partitions`` is left to the cluster; ``size_shuffles`` raises it
+    for large inputs and AQE merges small partitions.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -57,14 +57,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 _STAGED: dict[tuple, str] = {}
 
+_EXPANSION = 4  # rows in a shuffle against compressed columns
+_PARTITION_BYTES = 128 << 20
+_MAX_PARTITIONS = 100_000
 
-def _session_folder(spark: SparkSession) -> str:
+
+def session_folder(spark: SparkSession) -> str:
+    """Where this session keeps its staged tables."""
     return f"{shared_folder(spark)}/flightops/{spark.sparkContext.applicationId}"
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete the tables this session staged; frames read from them become unusable."""
-    fs, folder = _filesystem(spark, _session_folder(spark))
+    fs, folder = _filesystem(spark, session_folder(spark))
     fs.delete(folder, True)
     app = spark.sparkContext.applicationId
     for key in [k for k in _STAGED if k[0] == app]:
@@ -88,6 +93,15 @@ def _source_state(spark: SparkSession, paths: tuple[str, ...]) -> tuple:
     return tuple(states)
 
 
+def size_shuffles(spark: SparkSession, sources: tuple[str, ...]) -> None:
+    """Raise ``spark.sql.shuffle.partitions`` so that a full shuffle of these files has
+    partitions of about 128 MB; it is never lowered."""
+    stored = sum(length for _, length, _ in _source_state(spark, sources))
+    wanted = min(stored * _EXPANSION // _PARTITION_BYTES, _MAX_PARTITIONS)
+    if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+
+
 def source_key(spark: SparkSession, name: str, sources: tuple[str, ...]) -> tuple:
     """Names a result of these files in their present state, in this session."""
     return (spark.sparkContext.applicationId, name, sources, _source_state(spark, sources))
@@ -106,7 +120,7 @@ def staged(
     key = source_key(spark, name, sources) if sources else None
     path = _STAGED.get(key) if key else None
     if path is None:
-        path = f"{_session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        path = f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
         build().write.parquet(path)
         if key:
             _STAGED[key] = path

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightops.session import staged
+from flightops.session import size_shuffles, staged
 
 
 def _clock(minutes: Column) -> Column:
@@ -87,6 +87,7 @@ def table_flights(spark: SparkSession, folder: str) -> DataFrame:
         slots = spark.sparkContext.defaultParallelism
         return flights.repartition(slots) if len(source.inputFiles()) < slots else flights
 
+    size_shuffles(spark, (lines, suppliers))
     return staged(spark, "flights", derive, (lines, suppliers))
 
 
