@@ -27,7 +27,7 @@ from flightops.operators import training as L
 from flightops.plans import descriptive as D
 from flightops.plans import predictive as Q
 from flightops.schema import FEATURES, HISTORY, LIMITS
-from flightops.session import session_folder, source_key
+from flightops.session import session_folder, source_key, staged
 from flightops.sources import requests as I
 from flightops.sources.sinks import load_model, save_model
 from flightops.sources.tables import table_carriers, table_flights
@@ -951,20 +951,29 @@ def _(spark, folder):
 _MODELS: dict[tuple, str] = {}
 
 
+def _filled(spark, folder) -> DataFrame:
+    prepared = _prepared(spark, folder)
+    return staged(spark, "filled", lambda: prepared.features, _sources(folder))
+
+
 def _model(spark, folder) -> PipelineModel:
     """A small model, fitted once per session and source and kept in the shared folder."""
     key = source_key(spark, "model", _sources(folder))
     if key not in _MODELS:
         path = f"{session_folder(spark)}/model-{uuid.uuid4().hex}"
-        train = _prepared(spark, folder).features.filter(F.col("split") == "train")
+        train = _filled(spark, folder).filter(F.col("split") == "train")
         save_model(L.train_cascade(train, **MODEL_PARAMS), path)
         _MODELS[key] = path
     return load_model(_MODELS[key])
 
 
 def _model_scores(spark, folder) -> DataFrame:
-    test = _prepared(spark, folder).features.filter(F.col("split") == "test")
-    return L.score(test, _model(spark, folder))
+    """Scored test legs, read by several evaluations."""
+    def build() -> DataFrame:
+        test = _filled(spark, folder).filter(F.col("split") == "test")
+        return L.score(test, _model(spark, folder))
+
+    return staged(spark, "model-scores", build, _sources(folder))
 
 
 @query("ml04_train_cascade")

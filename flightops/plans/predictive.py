@@ -143,15 +143,17 @@ def run_training(flights: DataFrame, path: str, k: int = 5, **params) -> Trainin
     folds = staged(
         spark, "folds", lambda: P.time_series_folds(P.with_time_index(train), k)
     )
-    cv = E.cv_summary(M.cross_validate(folds, k, **params))
+    # each of these is one row that several later steps read: stored, not recomputed
+    cv = staged(spark, "cv", lambda: E.cv_summary(M.cross_validate(folds, k, **params)))
     model = M.train_cascade(train, **params)
     scored = staged(
         spark, "scored", lambda: M.score(features.filter(F.col("split") == "test"), model)
     )
-    metrics = one_row(E.binary_metrics(scored), E.roc_auc(scored))
-    thresholds = T.tier_thresholds(scored)
+    metrics = staged(
+        spark, "metrics", lambda: one_row(E.binary_metrics(scored), E.roc_auc(scored))
+    )
+    thresholds = staged(spark, "thresholds", lambda: T.tier_thresholds(scored))
     checks = T.leakage_checks(features, prepared.history, metrics)
-    # one row each: stored once so the record does not repeat the evaluation
     metadata = staged(
         spark, "metadata", lambda: model_metadata(prepared, metrics, cv, thresholds)
     )

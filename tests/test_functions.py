@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from flightops import session
 from flightops.functions import clip, hhmm_to_minutes, ratio, round_to
 from flightops.functions.ordered import exact_quantiles, running_totals
 from tests.conftest import rows
@@ -56,3 +57,16 @@ def test_exact_quantiles_match_numpy(spark, n):
     got = exact_quantiles(df, "x", {"a": 0.95, "b": 0.9, "c": 0.8, "d": 0.0, "e": 1.0}).first()
     want = np.percentile(values, [95, 90, 80, 0, 100])
     assert [got[c] for c in "abcde"] == pytest.approx(list(want), abs=1e-12)
+
+
+def test_size_shuffles_only_raises(spark, tmp_path, monkeypatch):
+    spark.range(1000).write.parquet(f"{tmp_path}/t")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        session.size_shuffles(spark, (f"{tmp_path}/t",))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == before
+        monkeypatch.setattr(session, "_PARTITION_BYTES", 100)
+        session.size_shuffles(spark, (f"{tmp_path}/t",))
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) > int(before)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
