@@ -38,5 +38,10 @@ def hhmm_to_minutes(col: Column) -> Column:
 
 
 def one_row(df: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Attach the columns of a global aggregate (always exactly one row)."""
-    return df.crossJoin(F.broadcast(thresholds))
+    """Attach the columns of a global aggregate (always exactly one row).
+
+    They come as a scalar subquery: computed once, then a constant in every task.
+    """
+    names = thresholds.columns
+    row = thresholds.select(F.struct(*names).alias("_row")).scalar()
+    return df.withColumns({name: row.getField(name) for name in names})

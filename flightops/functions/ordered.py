@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from flightops.functions.columns import one_row
 from flightops.session import staged
 
 _STEP = 4096
@@ -56,7 +57,7 @@ def exact_quantiles(df: DataFrame, col: str, quantiles: dict[str, float]) -> Dat
     )
     ranked = running_totals(counts, col, ["_n"])
     total = counts.agg(F.sum("_n").alias("_total"))
-    picked = ranked.crossJoin(F.broadcast(total))
+    picked = one_row(ranked, total)
 
     def at(rank):
         hit = (F.col("_n_before") <= rank) & (rank < F.col("_n_before") + F.col("_n"))

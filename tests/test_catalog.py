@@ -20,7 +20,7 @@ DEFAULT = """
     agg13_turnaround_by_origin agg16_bottleneck_category_counts agg25_train_medians
     scr04_06_robustness_routes scr09_quadrants jon05_lookup_history top02_worst_routes
     top09_least_robust_carriers ml02_time_series_folds ml08_roc_auc ml13_risk_tiers
-    ml16_score_histogram ml17_leakage_checks srv01_features_from_raw
+    ml16_score_histogram ml17_leakage_checks srv01_features_from_raw srv04_feature_stream
 """.split()
 CHOSEN = sorted(oracle_sql()) if os.environ.get("FLIGHTOPS_ALL") else DEFAULT
 
