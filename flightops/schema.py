@@ -51,6 +51,7 @@ REQUIRED_CASCADE = (
     "ArrDelay", "DepDelay", "CRSDepTime", "CRSArrTime", "Distance", "Origin", "Dest", "FlightDate",
 )
 
+# fixed values: the model inputs, in the order a scoring request lists them
 TEMPORAL = (
     "Hour", "DayOfWeek", "Month", "IsWeekend", "IsRushHour", "IsEarlyMorning", "IsLateNight",
 )

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from flightops.operators import clean as C
-from tests.conftest import day, rows
+from tests.conftest import day
 
 SCHEMA = ("FlightId string, TailNum string, FlightDate date, CRSDepTime int, CRSArrTime int, "
           "Origin string, Dest string, TaxiOut int, TaxiIn int, ArrDelay int, DepDelay int, "
