@@ -11,6 +11,7 @@ from flightops.session import staged
 
 # fixed: the characters that separate words
 SPACES = " \t\n\x0b\f\r"
+WORD = r"[^ \t\n\x0B\f\r]+"
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -29,10 +30,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def words(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; none for null."""
-    plain = F.coalesce(text, F.lit(""))
-    for c in SPACES[1:]:
-        plain = F.replace(plain, F.lit(c), F.lit(" "))
-    return F.array_remove(F.split(plain, " ", -1), "")
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
 def number_of_tasks(spark: SparkSession) -> int:

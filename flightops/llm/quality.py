@@ -16,13 +16,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightops.llm.common import let, stored, words
+from flightops.llm.common import SPACES, let, stored, words
 
 BUCKETS = 1 << 17
 ALPHA = 1.0
 MIN_SCORE = -0.2  # nats per n-gram
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+LOOKED_UP = 32  # changes the plan only
 SYMBOLS = "#*$%&|<>"  # fixed
 
 
@@ -32,11 +33,9 @@ def _bucket(*parts: Column, buckets: int) -> Column:
 
 def _grams(w: Column, buckets: int) -> Column:
     """Bucket of each word, then of each pair of neighbours."""
-    n = F.size(w)
-    second = F.slice(w, F.lit(2), F.greatest(n - 1, F.lit(0)))
-    pairs = F.zip_with(F.slice(w, F.lit(1), F.greatest(n - 1, F.lit(0))), second,
-                       lambda a, b: _bucket(a, b, buckets=buckets))
-    return F.concat(F.transform(w, lambda a: _bucket(a, buckets=buckets)), pairs)
+    pairs = F.transform(w, lambda a, i: _bucket(a, F.get(w, i + 1), buckets=buckets))
+    return F.concat(F.transform(w, lambda a: _bucket(a, buckets=buckets)),
+                    F.slice(pairs, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))))
 
 
 def good_documents(labels: DataFrame) -> DataFrame:
@@ -50,9 +49,16 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
     """One row with the log ratio of every bucket, in order; ``buckets`` bounds its size."""
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     good = good_documents(labels)
-    grams = texts.join(good, F.col("id") == F.col("good_id"), "left").select(
+    pairs = texts.join(good, F.col("id") == F.col("good_id"), "left").select(
         F.col("good_id").isNotNull().cast("long").alias("target"),
-        F.explode(_grams(words(F.col("text")), buckets)).alias("bucket"))
+        F.explode(let(words(F.col("text")), lambda w: F.arrays_zip(
+            w.alias("a"), F.concat(F.slice(w, F.lit(2), F.size(w)), F.array(F.lit(None)))
+            .alias("b")))).alias("p"))
+    first, second = F.col("p")["a"], F.col("p")["b"]
+    grams = pairs.select("target", F.explode(F.array(
+        _bucket(first, buckets=buckets),
+        F.when(second.isNotNull(), _bucket(first, second, buckets=buckets)))).alias("bucket"))
+    grams = grams.where("bucket is not null")
     counts = grams.groupBy("bucket").agg(
         F.count("*").alias("raw"), F.sum("target").alias("target"))
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
@@ -71,27 +77,32 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
 
 def repeat_words(w: Column) -> Column:
     """Words in windows of three that occur twice or more in the text."""
-    n = F.greatest(F.size(w) - 2, F.lit(0))
-    grams = F.zip_with(
-        F.zip_with(F.slice(w, F.lit(1), n), F.slice(w, F.lit(2), n), lambda a, b: F.struct(
-            a.alias("a"), b.alias("b"))),
-        F.slice(w, F.lit(3), n), lambda p, c: F.xxhash64(p["a"], p["b"], c))
+    grams = F.slice(
+        F.transform(w, lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))),
+        F.lit(1), F.greatest(F.size(w) - 2, F.lit(0)))
 
-    def covered(g: Column) -> Column:
-        placed = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+    def union(p: Column) -> Column:
+        """Words in the windows that start at the sorted positions ``p``."""
+        return F.aggregate(F.transform(p, lambda x, i: F.least(
+            F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0),
+            lambda a, x: a + x)
 
-        def again(s: Column) -> Column:
-            at = F.transform(s, lambda x, i: F.when(
-                (x["g"] == F.get(s, i - 1)["g"]) | (x["g"] == F.get(s, i + 1)["g"]), x["i"]))
-            return F.array_sort(F.array_compact(at))
+    def looked_up(g: Column, repeated: Column) -> Column:
+        return F.array_compact(F.transform(g, lambda x, i: F.when(
+            F.array_contains(repeated, x), i)))
 
-        def union(p: Column) -> Column:
-            return F.aggregate(F.transform(p, lambda x, i: F.least(
-                F.lit(3), F.coalesce(F.get(p, i + 1) - x, F.lit(3)))), F.lit(0),
-                lambda a, x: a + x)
+    def by_sorting(g: Column) -> Column:
+        placed = F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("g"), i.alias("i"))))
+        return let(placed, lambda s: F.array_sort(F.array_compact(F.transform(
+            s, lambda x, i: F.when((x["g"] == F.get(s, i - 1)["g"])
+                                   | (x["g"] == F.get(s, i + 1)["g"]), x["i"])))))
 
-        return F.when(F.size(F.array_distinct(g)) == F.size(g), F.lit(0)).otherwise(
-            let(let(placed, again), union))
+    def covered(g: Column) -> Column:
+        repeated = let(F.sort_array(g), lambda s: F.array_distinct(F.filter(
+            s, lambda x, i: x == F.get(s, i - 1))))
+        # both ways give the same positions; looking up many values takes longer than sorting
+        return let(repeated, lambda r: F.when(F.size(r) == 0, F.lit(0)).otherwise(let(
+            F.when(F.size(r) <= LOOKED_UP, looked_up(g, r)).otherwise(by_sorting(g)), union)))
 
     return let(grams, covered)
 
@@ -108,11 +119,11 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCO
     table = stored(weights(docs, labels, buckets, alpha), "quality-weights").scalar()
     text = F.coalesce(F.col("row.text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1),
-                     lambda line: F.length(_replace_all(line, "\t\x0b\f\r ")) > 0)
+                     lambda line: F.trim(line, F.lit(SPACES)) != "")
 
     def counts(w: Column) -> Column:
-        grams = _grams(w, buckets)
-        total = F.aggregate(grams, F.lit(0.0), lambda a, b: a + F.get("weights", b))
+        total = F.aggregate(_grams(w, buckets), F.lit(0.0),
+                            lambda a, b: a + F.get("weights", b))
         n = F.greatest(2 * F.size(w) - 1, F.lit(1))
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
