@@ -49,7 +49,8 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
     """One row with the log ratio of every bucket, in order; ``buckets`` bounds its size."""
     texts = docs.select(F.col("doc_id").alias("id"), "text")
     good = good_documents(labels)
-    pairs = texts.join(good, F.col("id") == F.col("good_id"), "left").select(
+    # labels cover a share of all documents, so they are never small where texts are many
+    pairs = texts.join(good.hint("merge"), F.col("id") == F.col("good_id"), "left").select(
         F.col("good_id").isNotNull().cast("long").alias("target"),
         F.explode(let(words(F.col("text")), lambda w: F.arrays_zip(
             w.alias("a"), F.concat(F.slice(w, F.lit(2), F.size(w)), F.array(F.lit(None)))
