@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightops.session import staged
+from flightops.session import session_folder, staged
 
 # fixed: the characters that separate words
 SPACES = " \t\n\x0b\f\r"
@@ -23,6 +24,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return staged(df.sparkSession, name, lambda: df)
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for files of this session."""
+    return f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once per row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

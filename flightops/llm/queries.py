@@ -7,8 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightops.llm import quality, secrets
-from flightops.llm.common import documents
+from flightops.llm import (
+    mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, token_counts, token_files,
+)
+from flightops.llm.common import documents, fresh_folder
+
+
+def _tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.substring_dedup(documents(spark, folder), keep_text=False).select(
+        "doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"), "n_factors")
+
+
+def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mix_sizes(documents(spark, folder))
 
 
 def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,6 +38,11 @@ def op3_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         "n_live", "n_example")
 
 
+def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(
+        documents(spark, folder), _tokenizer("piece_bpe_32k.model"))
+
+
 def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     labels = spark.read.parquet(f"{folder}/labels.parquet")
     return quality.quality_rules(documents(spark, folder), labels).select(
@@ -28,8 +50,25 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, folder)).select(
+        "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
+        "component_id")
+
+
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    path = fresh_folder(spark, "token-files")
+    token_files.write_token_files(
+        documents(spark, folder), path, _tokenizer("byte_bpe_50k.json"))
+    return token_files.token_digests(spark, path)
+
+
+def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(documents(spark, folder)).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        "op3_secret_scan": op3_secret_scan,
-        "op5_quality_rules": op5_quality_rules,
-    }
+    found = (op1_substring_dedup, op2_mix_sources, op3_secret_scan, op4_token_counts,
+             op5_quality_rules, op7_simhash, op9_token_files, op10_suffix_dedup)
+    return {f.__name__: f for f in found}
