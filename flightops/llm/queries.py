@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightops.llm import (
-    mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, token_counts, token_files,
+    decontaminate, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, token_counts, token_files,
 )
 from flightops.llm.common import documents, fresh_folder
 
@@ -56,6 +56,12 @@ def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
         "component_id")
 
 
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    items = spark.read.parquet(f"{folder}/benchmark.parquet")
+    return decontaminate.leaks(documents(spark, folder), items).select(
+        "doc_id", "item_id", "n_matched", "n_windows", "coverage", "reparameterised")
+
+
 def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = fresh_folder(spark, "token-files")
     token_files.write_token_files(
@@ -70,5 +76,5 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_substring_dedup, op2_mix_sources, op3_secret_scan, op4_token_counts,
-             op5_quality_rules, op7_simhash, op9_token_files, op10_suffix_dedup)
+             op5_quality_rules, op7_simhash, op8_decontaminate, op9_token_files, op10_suffix_dedup)
     return {f.__name__: f for f in found}
