@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flightops.llm import (
     decontaminate, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, token_counts, token_files,
+    toxicity,
 )
 from flightops.llm.common import documents, fresh_folder
 
@@ -50,6 +51,13 @@ def op5_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    return toxicity.toxicity(docs, model).select(
+        "doc_id", "held_out", "score", "predicted", F.size("spans").alias("n_spans"))
+
+
 def op7_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, folder)).select(
         "doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"),
@@ -76,5 +84,5 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_substring_dedup, op2_mix_sources, op3_secret_scan, op4_token_counts,
-             op5_quality_rules, op7_simhash, op8_decontaminate, op9_token_files, op10_suffix_dedup)
+             op5_quality_rules, op6_toxicity, op7_simhash, op8_decontaminate, op9_token_files, op10_suffix_dedup)
     return {f.__name__: f for f in found}
