@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flightops.llm.common import stored
+
 WINDOW = 8
 MIN_PLAIN = 5  # plain words that a template window has at least
 MIN_COVERAGE = 0.5  # windows of an item that a document must hold
@@ -186,8 +188,6 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW,
           min_coverage: float = MIN_COVERAGE, sent_hashes: int = SENT_HASHES) -> DataFrame:
     """doc_id, text_key, item_id, n_matched, n_windows, coverage and reparameterised for each
     document and item that it holds."""
-    from flightops.llm.common import stored
-
     spark = docs.sparkSession
     table = stored(item_windows(items, window), "benchmark-windows")
     sizes = [r["size"] for r in table.select("size").distinct().collect()]  # at most `window`
@@ -218,3 +218,13 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW,
                         F.col("item_id").eqNullSafe(F.col("item"))).select(
         "doc_id", "text_key", "item_id", "n_matched", "n_windows", coverage.alias("coverage"),
         F.col("changed").alias("reparameterised")).where(F.col("coverage") >= min_coverage)
+
+
+def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
+    """The documents that hold no item, with all their columns."""
+    found = stored(leaks(docs, items, **options).select(
+        F.col("doc_id").alias("id"), F.col("text_key").alias("key")).distinct(), "leaks")
+    keyed = docs.select(F.struct("*").alias("row")).withColumn(
+        "text_key", F.xxhash64("row.text"))
+    return keyed.join(found, (F.col("text_key") == F.col("key"))
+                      & F.col("row.doc_id").eqNullSafe(F.col("id")), "left_anti").select("row.*")

@@ -26,7 +26,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightops.llm.common import stored
@@ -67,16 +67,18 @@ def fingerprints_of(texts: list[str | None], shingle: int = SHINGLE) -> np.ndarr
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of every row."""
+    """doc_id, text_key and fingerprint (as a signed long) of every row."""
 
     def hashed(batches):
         for batch in batches:
-            prints = fingerprints_of(batch.column(1).to_pylist()).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints)],
-                                             ["doc_id", "print"])
+            prints = fingerprints_of(batch.column(2).to_pylist()).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(prints)],
+                ["doc_id", "text_key", "print"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        hashed, "doc_id long, print long")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"),
+        "text").mapInArrow(hashed, "doc_id long, text_key long, print long")
 
 
 def _variant_keys(value: Column) -> Column:
@@ -202,7 +204,7 @@ def classes(edges: DataFrame, name: str = "simhash-stars", rounds: int = 64) ->
 
 
 def near_duplicates(docs: DataFrame, many: int = MANY) -> DataFrame:
-    """doc_id, print and component_id of every row of ``docs``."""
+    """doc_id, text_key, print, component_id and class root of every row of ``docs``."""
     prints = stored(fingerprints(docs), "simhash-prints")
     first = stored(prints.groupBy("print").agg(F.min("doc_id").alias("first_id")),
                    "simhash-first")
@@ -211,7 +213,24 @@ def near_duplicates(docs: DataFrame, many: int = MANY) -> DataFrame:
         F.col("print").alias("p"), "first_id",
         F.coalesce("root", "print").alias("root"))
     smallest = class_of.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labelled = stored(class_of.join(smallest, "root").select("p", "component_id"),
+    labelled = stored(class_of.join(smallest, "root").select("p", "component_id", "root"),
                       "simhash-classes")
     return prints.join(labelled, F.col("print") == F.col("p")).select(
-        "doc_id", "print", "component_id")
+        "doc_id", "text_key", "print", "component_id", "root")
+
+
+def one_of_each(docs: DataFrame, many: int = MANY) -> DataFrame:
+    """One row of each class: that of the smallest doc_id, null last."""
+    rows = near_duplicates(docs, many)
+    first = rows.groupBy("root").agg(F.min(F.struct(
+        F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("f"))
+    kept = stored(first.select(F.col("f.doc_id").alias("id"), F.col("f.text_key").alias("key")),
+                  "simhash-kept")
+    keyed = docs.select(F.struct("*").alias("row")).withColumn(
+        "text_key", F.xxhash64("row.text"))
+    found = keyed.join(kept, (F.col("text_key") == F.col("key"))
+                       & F.col("row.doc_id").eqNullSafe(F.col("id")))
+    # repeated rows have the same id and text
+    numbered = found.withColumn("n", F.row_number().over(
+        Window.partitionBy("text_key", "id").orderBy("text_key")))
+    return numbered.where("n = 1").select("row.*")
