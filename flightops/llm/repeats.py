@@ -9,15 +9,16 @@ form a run, about 2 / (L - k + 2) runs per symbol. Equal windows have equal name
    name. Names of one document only are dropped: nothing in their runs repeats.
 2. names that always spell the same text are settled: their windows first start in the
    smallest document.
-3. for the other names the single windows meet in the same way.
+3. for the other names each distinct text of a run is sent once, with the hashes of its
+   windows, and single windows meet; the answer comes in the order of the question.
 
 Every batch gets back only what concerns it and marks its documents. Batches are hash groups
-of documents and their number is twice the number of shuffle partitions; what a batch sends
-is reduced within the batch first, so a passage that a third of all documents share is one
-entry per batch. Entries travel in compressed blocks, one per pair of sender and receiver.
+of documents of about 8 MB; their number, and that of the receivers, follows from the size of
+the texts. What a batch sends is reduced within the batch first, so a passage that a third of
+all documents share is one entry per batch. Entries travel in compressed blocks, one per pair of sender and receiver.
 
-Names are 48 to 80 bits of 64-bit polynomial hashes, checked together with the run's text
-hash or the window hash.
+A name is the number of its receiver and 40 more bits; texts of a run are told apart by 40
+bits and windows of a name by 48.
 """
 
 from __future__ import annotations
@@ -30,14 +31,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flightops.llm.common import number_of_tasks
-
 NO_ID = np.iinfo(np.int64).max  # a null doc_id comes after all others
-CHUNK = 1 << 19  # symbols that are hashed at a time
+CHUNK = 1 << 18  # symbols that are hashed at a time
+BATCH_BYTES = 8 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BLOCK = "batch int, stage int, data binary"
+_BLOCK = "receiver int, batch int, stage int, data binary"
+_KEY = 40  # bits of a name beside its receiver
 
 
 def _mix(h: np.ndarray, odd: int = 0xD6E8FEB86659FD93) -> np.ndarray:
@@ -54,13 +55,14 @@ def _powers(base: int, n: int) -> np.ndarray:
 class Windows:
     """Names of the runs of windows in a sequence of documents."""
 
-    def __init__(self, length: int, gram: int):
-        self.length, self.gram = length, gram
+    def __init__(self, length: int, gram: int, receivers: int):
+        self.length, self.gram, self.receivers = length, gram, _U(receivers)
         n = CHUNK + length + 1
         self.powers = _powers(_BASE, n)
         self.inverse = _powers(pow(_BASE, -1, 1 << 64), n)
 
-    def chunks(self, symbols: np.ndarray, lengths: np.ndarray) -> Iterator[tuple]:
+    def chunks(self, symbols: np.ndarray, lengths: np.ndarray,
+               code: np.ndarray | None) -> Iterator[tuple]:
         """Per chunk with windows: (first position, window hashes, begin and end of each run,
         its name, its text hash, its document's index); positions count from the chunk."""
         length, gram = self.length, self.gram
@@ -68,6 +70,7 @@ class Windows:
         ends = np.cumsum(lengths)
         for first in range(0, len(symbols), CHUNK):
             part = symbols[first:first + CHUNK + length - 1]
+            part = part if code is None else code[part]
             n = min(CHUNK, len(part) - length + 1)
             if n <= 0:
                 break
@@ -92,10 +95,12 @@ class Windows:
             if not len(begins):
                 continue
             # the last window of a run that lies inside the document
-            last = np.minimum(np.append(np.flatnonzero(at % width == 0)[1:], n),
-                              ends[doc[np.flatnonzero(at % width == 0)]] - first - length + 1)
-            last = last[inside[np.flatnonzero(at % width == 0)]] - 1
-            name = _mix(least[begins], 0xA0761D6478BD642F) >> _U(16)
+            cuts = np.flatnonzero(at % width == 0)
+            cuts, until = cuts[inside[cuts]], np.append(cuts[1:], n)[inside[cuts]]
+            last = np.minimum(until, ends[doc[begins]] - first - length + 1) - 1
+            name = _mix(least[begins], 0xA0761D6478BD642F)
+            name = (name % self.receivers << _U(_KEY)) | (
+                name // self.receivers & _U((1 << _KEY) - 1))
             text = _mix(hashes[begins] + _mix(hashes[last] + (last - begins).astype(np.uint64)),
                         0xE7037ED1A0B428DB) >> _U(24)
             yield first, hashes, begins, last, name, text, doc[begins]
@@ -135,20 +140,22 @@ def _groups(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(new)
 
 
-def _send(batch: int, stage: int, receivers: int, key: np.ndarray,
-          columns: list[tuple[np.ndarray, int]]) -> pa.Table:
-    """One block per receiver, chosen by the key."""
-    to = (key % _U(receivers)).astype(np.int32)
-    order, begins = _groups(to)
-    rows = [(int(to[order[a]]), batch, stage, _pack(*((c[order[a:b]], s) for c, s in columns)))
-            for a, b in zip(begins, np.append(begins[1:], len(order)))]
-    names = ("receiver", "batch", "stage", "data")
+def _blocks(rows: list[tuple]) -> pa.Table:
+    """Rows of (receiver, batch, stage, data)."""
     kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary())
-    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
+                    ("receiver", "batch", "stage", "data"))
+
+
+def _receivers(name: np.ndarray) -> list[tuple[int, slice]]:
+    """Each receiver of sorted names, with its part of them."""
+    to = name >> _U(_KEY)
+    begins = np.flatnonzero(np.append(True, to[1:] != to[:-1])) if len(to) else []
+    return [(int(to[a]), slice(a, b)) for a, b in zip(begins, np.append(begins[1:], len(to)))]
 
 
 def _reduce(keys: list[np.ndarray], doc: np.ndarray, text: np.ndarray | None):
-    """One entry per key: (index of a member, smallest doc, flags). Flag 1: several
+    """One entry per key, in order: (index of a member, smallest doc, flags). Flag 1: several
     documents, flag 2: several texts."""
     order, begins = _groups(*keys)
     docs = doc[order]
@@ -161,187 +168,254 @@ def _reduce(keys: list[np.ndarray], doc: np.ndarray, text: np.ndarray | None):
     return order[begins], smallest, flags
 
 
-def _meet(table: pa.Table, sizes: tuple[int, ...], n_keys: int, has_text: bool, stage: int):
-    """Entries of all batches for the names of one receiver; what each batch gets back."""
-    batches = table.column("batch").to_pylist()
-    parts = [_unpack(d, *sizes) for d in table.column("data").to_pylist()]
-    columns = [np.concatenate(c) for c in zip(*parts)]
-    sender = np.repeat(np.array(batches, np.int32), [len(p[0]) for p in parts])
-    keys, flags, doc = columns[:n_keys], columns[-2], columns[-1].view(np.int64)
+def _meet(keys: list[np.ndarray], doc: np.ndarray, flags: np.ndarray,
+          text: np.ndarray | None = None):
+    """For entries of all batches: the smallest document of the key, whether several
+    documents have it, and whether they spell several texts."""
     order, begins = _groups(*keys)
     size = np.diff(np.append(begins, len(order)))
-    docs = doc[order]
+    docs, seen = doc[order], np.bitwise_or.reduceat(flags[order], begins)
     smallest = np.minimum.reduceat(docs, begins)
-    seen = np.bitwise_or.reduceat(flags[order], begins)
     shared = (np.maximum.reduceat(docs, begins) != smallest) | (seen & _U(1) > 0)
     several = seen & _U(2) > 0
-    if has_text:
-        texts = columns[n_keys][order]
+    if text is not None:
+        texts = text[order]
         several |= np.maximum.reduceat(texts, begins) != np.minimum.reduceat(texts, begins)
-    first, several, shared = (np.repeat(v, size) for v in (smallest, several, shared))
-    # a batch that only holds the first document needs a name only to spell its windows out
-    wanted = shared & (several | (docs != first) | (flags[order] & _U(1) > 0))
-    order, first, several = order[wanted], first[wanted], several[wanted]
-    to, rows = sender[order], []
-    back, begins = _groups(to)
-    for a, b in zip(begins, np.append(begins[1:], len(back))):
-        at = back[a:b]
-        rows.append((int(to[at[0]]), stage, _pack(
-            *((k[order[at]], s) for k, s in zip(keys, sizes)),
-            (several[at].astype(np.uint8), 1), (first[at], 8))))
-    kinds = (pa.int32(), pa.int32(), pa.binary())
-    return pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)],
-                    ("batch", "stage", "data"))
-
+    out = []
+    for values in (smallest, shared, several):
+        back = np.empty(len(order), values.dtype)
+        back[order] = np.repeat(values, size)
+        out.append(back)
+    return out
 
-class _Known:
-    """What a batch got back, by sorted name."""
 
-    def __init__(self, table: pa.Table, stage: int, *sizes: int):
-        blocks = [d for d, s in zip(table.column("data").to_pylist(),
-                                    table.column("stage").to_pylist()) if s == stage]
-        parts = [_unpack(d, *sizes, 1, 8) for d in blocks]
+def _meet_names(table: pa.Table) -> pa.Table:
+    parts = [_unpack(d, 5, 5, 1, 8) for d in table.column("data").to_pylist()]
+    receiver = table.column("receiver")[0].as_py()
+    key, text, flags, doc = (np.concatenate(c) for c in zip(*parts))
+    doc = doc.view(np.int64)
+    first, shared, several = _meet([key], doc, flags, text)
+    # a batch that only holds the first document needs a name only to spell its windows out
+    wanted = shared & (several | (doc != first) | (flags & _U(1) > 0))
+    ends, rows = np.cumsum([len(p[0]) for p in parts]), []
+    for batch, begin, end in zip(table.column("batch").to_pylist(), np.append(0, ends), ends):
+        at = begin + np.flatnonzero(wanted[begin:end])
+        if len(at):
+            rows.append((receiver, batch, 1, _pack(
+                (key[at], 5), (several[at].astype(np.uint8), 1), (first[at], 8))))
+    return _blocks(rows)
+
+
+def _meet_windows(table: pa.Table) -> pa.Table:
+    receiver, parts = table.column("receiver")[0].as_py(), []
+    for data in table.column("data").to_pylist():
+        cut = int.from_bytes(data[:4], "little")
+        key, size, flags, doc = _unpack(data[4:cut], 5, 1, 1, 8)
+        (window,) = _unpack(data[cut:], 6)
+        size = size.astype(np.int64)
+        parts.append([np.repeat(key, size), window, np.repeat(flags, size),
+                      np.repeat(doc, size)])
+    key, window, flags, doc = (np.concatenate(c) for c in zip(*parts))
+    doc = doc.view(np.int64)
+    first, shared, _ = _meet([key, window], doc, flags)
+    hit = shared & ((doc != first) | (flags & _U(1) > 0))
+    ends, rows = np.cumsum([len(p[0]) for p in parts]), []
+    for batch, begin, end in zip(table.column("batch").to_pylist(), np.append(0, ends), ends):
+        if hit[begin:end].any():
+            rows.append((receiver, batch, 2, _two(
+                _pack((hit[begin:end].astype(np.uint8), 1)),
+                _pack((first[begin:end][hit[begin:end]], 8)))))
+    return _blocks(rows)
+
+
+def _two(a: bytes, b: bytes) -> bytes:
+    return (len(a) + 4).to_bytes(4, "little") + a + b
+
+
+def _spread(begins: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... (size of them) for every begin."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(begins - (ends - size), size)
+
+
+class _Names:
+    """What a batch got back for its names, in their order."""
+
+    def __init__(self, got: pa.Table):
+        parts = [[np.full(len(key), receiver << _KEY, np.uint64) + key, several, first]
+                 for receiver, stage, data in zip(*(got.column(c).to_pylist() for c in (
+                     "receiver", "stage", "data"))) if stage == 1
+                 for key, several, first in [_unpack(data, 5, 1, 8)]]
         columns = [np.concatenate(c) for c in zip(*parts)] if parts else [
-            np.zeros(0, np.uint64)] * (len(sizes) + 2)
-        order = np.lexsort(columns[:len(sizes)][::-1])
-        self.keys = [c[order] for c in columns[:len(sizes)]]
-        self.several = columns[-2][order] > 0
-        self.first = columns[-1][order].view(np.int64)
-
-    def find(self, key: np.ndarray, check: np.ndarray | None = None) -> np.ndarray:
-        """Place of each key, or -1. Equal first keys with another check are tried in turn."""
-        out = np.full(len(key), -1, np.int64)
-        if not len(self.first):
-            return out
-        at = np.searchsorted(self.keys[0], key)
-        todo = np.arange(len(key))
-        while len(todo):
-            place = at[todo]
-            ok = place < len(self.first)
-            todo, place = todo[ok], place[ok]
-            same = self.keys[0][place] == key[todo]
-            todo, place = todo[same], place[same]
-            hit = np.ones(len(todo), bool) if check is None else (
-                self.keys[1][place] == check[todo])
-            out[todo[hit]] = place[hit]
-            todo = todo[~hit]
-            at[todo] += 1
-        return out
+            np.zeros(0, np.uint64)] * 3
+        order = np.argsort(columns[0])
+        self.name = columns[0][order]
+        self.several = columns[1][order] > 0
+        self.first = columns[2][order].view(np.int64)
+
+    def find(self, name: np.ndarray) -> np.ndarray:
+        """Place of each name, or -1."""
+        if not len(self.name):
+            return np.full(len(name), -1)
+        place = np.searchsorted(self.name, name)
+        place[place == len(self.name)] = 0
+        return np.where(self.name[place] == name, place, -1)
+
+
+class _Spelled:
+    """The distinct texts of a batch's runs whose name spells several texts, in order."""
+
+    def __init__(self, names: _Names, chunks, order: np.ndarray):
+        self.settled, self.runs = [], []  # (begin, size, first), (begin, name, text)
+        found = []
+        for offset, hashes, begins, last, name, text, doc in chunks:
+            place = names.find(name)
+            size = last - begins + 1
+            known = np.flatnonzero(place >= 0)
+            several = names.several[place[known]]
+            done, todo = known[~several], known[several]
+            earlier = names.first[place[done]]
+            keep = earlier < order[doc[done]]
+            self.settled.append((offset + begins[done][keep], size[done][keep], earlier[keep]))
+            found.append((name[todo], text[todo], order[doc[todo]], size[todo],
+                          hashes[_spread(begins[todo], size[todo])] >> _U(16),
+                          offset + begins[todo]))
+        columns = [np.concatenate(c) for c in zip(*found)] if found else [
+            np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)] * 2 + [
+            np.zeros(0, np.uint64), np.zeros(0, np.int64)]
+        self.run_name, self.run_text, self.run_doc, self.run_size, windows, self.begin = columns
+        at, self.doc, self.flags = _reduce(
+            [self.run_name, self.run_text], self.run_doc, None) if len(self.begin) else (
+            np.zeros(0, np.int64), self.run_doc, self.run_name)
+        self.name, self.text, self.size = (
+            self.run_name[at], self.run_text[at], self.run_size[at])
+        starts = np.cumsum(self.run_size) - self.run_size
+        self.windows = windows[_spread(starts[at], self.size)]
+        self.start = np.cumsum(self.size) - self.size
+
+    def blocks(self, batch: int) -> pa.Table:
+        rows = []
+        for receiver, part in _receivers(self.name):
+            begin, end = self.start[part.start], self.start[part.stop - 1] + self.size[
+                part.stop - 1]
+            rows.append((receiver, batch, 2, _two(
+                _pack((self.name[part], 5), (self.size[part].astype(np.uint8), 1),
+                      (self.flags[part], 1), (self.doc[part], 8)),
+                _pack((self.windows[begin:end], 6)))))
+        return _blocks(rows)
+
+    def answers(self, got: pa.Table) -> np.ndarray:
+        """The first document of each window, or NO_ID."""
+        first = np.full(len(self.windows), NO_ID, np.int64)
+        data = {r: d for r, s, d in zip(*(got.column(c).to_pylist() for c in (
+            "receiver", "stage", "data"))) if s == 2}
+        for receiver, part in _receivers(self.name):
+            if receiver in data:
+                cut = int.from_bytes(data[receiver][:4], "little")
+                (hit,) = _unpack(data[receiver][4:cut], 1)
+                (docs,) = _unpack(data[receiver][cut:], 8)
+                begin = self.start[part.start]
+                first[begin + np.flatnonzero(hit)] = docs.view(np.int64)
+        return first
+
+    def place(self) -> np.ndarray:
+        """The text of each run, as a place among the distinct ones."""
+        both = np.append(self.name, self.run_name), np.append(self.text, self.run_text)
+        order, begins = _groups(*both)
+        group = np.empty(len(order), np.int64)
+        group[order] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(order))))
+        return group[len(self.name):]
 
 
 def mark_repeats(docs: DataFrame, read: Callable, write: Callable, schema: str,
-                 length: int, gram: int, batches: int | None = None) -> DataFrame:
+                 length: int, gram: int, batches: int | None = None,
+                 code: np.ndarray | None = None) -> DataFrame:
     """Rows of ``write`` for all of ``docs`` (doc_id, text).
 
-    ``read(texts)`` gives the symbols (uint64) of all texts in a row and the number of
-    symbols of each; ``write(texts, doc_ids, lengths, covered, first)`` gets, per symbol,
+    ``read(texts)`` gives the symbols of all texts in a row and the number of symbols of
+    each; a symbol is a random uint64, or the place of one in ``code``; ``write(texts, doc_ids, lengths, covered, first)`` gets, per symbol,
     whether it lies in a repeated window, and the smallest doc_id for windows that start at
     it (else ``NO_ID``), and returns an Arrow table.
     """
-    n = batches or 2 * number_of_tasks(docs.sparkSession)
+    if batches is None:
+        size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        batches = -(-size // BATCH_BYTES)
+    n = max(1, batches)
     rows = docs.select(
         F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int").alias("batch"),
         F.col("doc_id").cast("long").alias("doc_id"), "text")
     state = {}
 
-    def windows() -> Windows:
+    def chunks(symbols, lengths):
         if "windows" not in state:
-            state["windows"] = Windows(length, gram)
-        return state["windows"]
+            state["windows"] = Windows(length, gram, n)
+        return state["windows"].chunks(symbols, lengths, code)
 
     def load(table: pa.Table):
-        ids = table.column("doc_id").to_pylist()
-        texts = [t or "" for t in table.column("text").to_pylist()]
+        # a shuffle has no fixed order, but questions and answers must see the same runs
+        rows = sorted(zip(
+            (NO_ID if i is None else i for i in table.column("doc_id").to_pylist()),
+            (t or "" for t in table.column("text").to_pylist())))
+        texts = [t for _, t in rows]
         symbols, lengths = read(texts)
-        order = np.array([NO_ID if i is None else i for i in ids], np.int64)
-        return ids, texts, symbols, lengths, order
+        return ([None if i == NO_ID else i for i, _ in rows], texts, symbols, lengths,
+                np.array([i for i, _ in rows], np.int64))
 
-    def number(table: pa.Table) -> int:
-        return table.column("batch")[0].as_py()
-
-    def send_runs(table: pa.Table) -> pa.Table:
+    def send_names(table: pa.Table) -> pa.Table:
         _, _, symbols, lengths, order = load(table)
-        found = [(name, text, order[doc]) for _, _, _, _, name, text, doc in
-                 windows().chunks(symbols, lengths)]
-        name, text, doc = (np.concatenate(c) for c in zip(*found)) if found else (
-            np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        if not len(name):
-            return _send(number(table), 1, n, name, [(name, 6)])
+        found = [(name, text, order[doc])
+                 for _, _, _, _, name, text, doc in chunks(symbols, lengths)]
+        if not found:
+            return _blocks([])
+        name, text, doc = (np.concatenate(c) for c in zip(*found))
         at, smallest, flags = _reduce([name], doc, text)
-        return _send(number(table), 1, n, name[at], [
-            (name[at], 6), (text[at], 5), (flags, 1), (smallest, 8)])
-
-    def spelled(known: _Known, begins, last, name):
-        """Places of the windows of runs whose name spells several texts."""
-        place = known.find(name)
-        several = np.flatnonzero((place >= 0) & known.several[place]) if len(
-            known.first) else np.zeros(0, np.int64)
-        size = last[several] - begins[several] + 1
-        ends = np.cumsum(size)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(
-            begins[several] - (ends - size), size)
-        return place, np.repeat(several, size), at
+        name, text, batch = name[at], text[at], table.column("batch")[0].as_py()
+        return _blocks([(receiver, batch, 1, _pack(
+            (name[part], 5), (text[part], 5), (flags[part], 1), (smallest[part], 8)))
+            for receiver, part in _receivers(name)])
 
     def send_windows(table: pa.Table, got: pa.Table) -> pa.Table:
-        empty = [np.zeros(0, np.uint64)] * 2 + [np.zeros(0, np.int64)]
-        found = [tuple(empty)]
-        if table.num_rows and got.num_rows:
-            _, _, symbols, lengths, order = load(table)
-            known = _Known(got, 1, 6)
-            for _, hashes, begins, last, name, _, doc in windows().chunks(symbols, lengths):
-                _, run, at = spelled(known, begins, last, name)
-                found.append((hashes[at], name[run] & _U(0xFFFF), order[doc[run]]))
-        window, check, doc = (np.concatenate(c) for c in zip(*found))
-        if not len(window):
-            return _send(0, 2, n, window, [(window, 8)])
-        at, smallest, flags = _reduce([window, check], doc, None)
-        return _send(number(table), 2, n, window[at], [
-            (window[at], 8), (check[at], 2), (flags, 1), (smallest, 8)])
+        if not table.num_rows or not got.num_rows:
+            return _blocks([])
+        _, _, symbols, lengths, order = load(table)
+        spelled = _Spelled(_Names(got), chunks(symbols, lengths), order)
+        return spelled.blocks(table.column("batch")[0].as_py())
 
     def mark(table: pa.Table, got: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return write([], [], np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64))
         ids, texts, symbols, lengths, order = load(table)
-        names, singles = _Known(got, 1, 6), _Known(got, 2, 8, 2)
         first = np.full(len(symbols), NO_ID, np.int64)
-        for offset, hashes, begins, last, name, _, doc in windows().chunks(symbols, lengths):
-            place, run, at = spelled(names, begins, last, name)
-            if len(names.first):
-                settled = np.flatnonzero((place >= 0) & ~names.several[place]
-                                         & (names.first[place] < order[doc]))
-                size = last[settled] - begins[settled] + 1
-                ends = np.cumsum(size)
-                where = np.arange(ends[-1] if len(ends) else 0) + np.repeat(
-                    begins[settled] - (ends - size), size)
-                first[offset + where] = np.repeat(names.first[place[settled]], size)
-            if len(at):
-                single = singles.find(hashes[at], name[run] & _U(0xFFFF))
-                hit = np.flatnonzero(single >= 0)
-                earlier = singles.first[single[hit]]
-                keep = earlier < order[doc[run[hit]]]
-                first[offset + at[hit[keep]]] = earlier[keep]
-        starts = (first != NO_ID).astype(np.int32)
-        reach = np.cumsum(starts)
-        reach[length:] -= np.cumsum(starts)[:-length] if len(starts) > length else 0
+        if got.num_rows and table.num_rows:
+            spelled = _Spelled(_Names(got), chunks(symbols, lengths), order)
+            for begin, size, earlier in spelled.settled:
+                first[_spread(begin, size)] = np.repeat(earlier, size)
+            if len(spelled.begin):
+                answer = spelled.answers(got)[
+                    _spread(spelled.start[spelled.place()], spelled.run_size)]
+                where = _spread(spelled.begin, spelled.run_size)
+                earlier = answer < np.repeat(spelled.run_doc, spelled.run_size)
+                first[where[earlier]] = answer[earlier]
+        reach = np.cumsum(first != NO_ID, dtype=np.int32)
+        if len(reach) > length:
+            reach[length:] -= reach[:-length].copy()
         return write(texts, ids, lengths, reach > 0, first)
 
-    message = "receiver int, batch int, stage int, data binary"
     by_batch = rows.groupBy("batch")
-    names = by_batch.applyInArrow(send_runs, message).groupBy("receiver").applyInArrow(
-        lambda t: _meet(t, (6, 5, 1, 8), 1, True, 1), _BLOCK)
+    names = by_batch.applyInArrow(send_names, _BLOCK).groupBy("receiver").applyInArrow(
+        _meet_names, _BLOCK)
     singles = by_batch.cogroup(names.groupBy("batch")).applyInArrow(
-        send_windows, message).groupBy("receiver").applyInArrow(
-        lambda t: _meet(t, (8, 2, 1, 8), 2, False, 2), _BLOCK)
+        send_windows, _BLOCK).groupBy("receiver").applyInArrow(_meet_windows, _BLOCK)
     return by_batch.cogroup(names.unionByName(singles).groupBy("batch")).applyInArrow(
         mark, schema)
 
 
 def bytes_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes as symbols: fixed random 64-bit numbers, one per byte value."""
-    table = _mix(_mix(np.arange(1, 257, dtype=np.uint64)))
+    """UTF-8 bytes as symbols; ``BYTE_CODE`` has a fixed random number for each."""
     coded = [t.encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"".join(coded), np.uint8)
-    return table[data], np.array([len(c) for c in coded], np.int64)
+    return (np.frombuffer(b"".join(coded), np.uint8),
+            np.array([len(c) for c in coded], np.int64))
+
+
+BYTE_CODE = _mix(_mix(np.arange(1, 257, dtype=np.uint64)))
 
 
 class _WordHashes(dict):

@@ -65,7 +65,8 @@ def _write(keep_text: bool):
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
-                    keep_text: bool = True) -> DataFrame:
+                    keep_text: bool = True,
+                    batches: int | None = None) -> DataFrame:
     """One row per row of ``docs``: counts, removed spans in words, and ``kept``, the words
     that stay (``keep_text=False``: the SHA-256 of them)."""
-    return mark_repeats(docs, words_of, _write(keep_text), SCHEMA, window, gram)
+    return mark_repeats(docs, words_of, _write(keep_text), SCHEMA, window, gram, batches)
