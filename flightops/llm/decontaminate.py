@@ -5,8 +5,8 @@ turn into typed placeholders, other words lose case and outer punctuation. Windo
 template are hashed and joined with the windows of all benchmark items. A hit carries the
 values in its slots; an alignment of an item in a document counts only if every item value
 always meets the same document value, so a question whose numbers or names were exchanged
-throughout is found and chance hits of bare placeholders are not. Windows with too few plain
-words are compared word by word instead.
+throughout is found and chance hits of bare placeholders are not. Template windows need some
+plain words; all windows are also compared as they are spelled, without case and punctuation.
 
 The benchmark is the query set. If the hashes of its windows fit a bound, they are sent to
 the tasks, which then emit hits only; otherwise all windows are emitted and joined.
@@ -98,42 +98,59 @@ def template(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return at, coded[at] >> _U(4), kind[at]
 
 
-def window_keys(plain: np.ndarray, kind: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Key of each window, and whether it is a template (else it is compared word by word)."""
+def window_keys(plain: np.ndarray, kind: np.ndarray, size: int):
+    """Keys of the spelled windows, those of the template windows, and where the latter have
+    slots and enough plain words."""
     n = len(plain) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
     slot = np.where(kind == _PLAIN, plain, kind.astype(np.uint64))
-    spelled = np.zeros(n, np.uint64)
+    spelled = np.full(n, size, np.uint64)
     typed = np.zeros(n, np.uint64)
     for i in range(size):
         spelled = _mix(spelled + plain[i:i + n])
         typed = _mix(typed + slot[i:i + n])
     count = np.cumsum(np.append(0, kind == _PLAIN))
-    usable = count[size:] - count[:-size] >= min(MIN_PLAIN, size)
-    usable &= count[size:] - count[:-size] < size
-    return np.where(usable, typed, spelled ^ _U(size)), usable
+    count = count[size:] - count[:-size]
+    return spelled, typed, (count >= min(MIN_PLAIN, size)) & (count < size)
 
 
-def _windows(text: str | None, sizes, wanted: np.ndarray | None):
+class Wanted:
+    """A set of keys; a table of their upper bits answers most questions."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = np.sort(keys)
+        self.upper = np.zeros(1 << 22, bool)
+        self.upper[self.keys >> _U(42)] = True
+
+    def places(self, keys: np.ndarray) -> np.ndarray:
+        """Where keys of the set stand."""
+        at = np.flatnonzero(self.upper[keys >> _U(42)])
+        if not len(at):
+            return at
+        found = np.searchsorted(self.keys, keys[at])
+        found[found == len(self.keys)] = 0
+        return at[self.keys[found] == keys[at]]
+
+
+def _windows(text: str | None, sizes, wanted: Wanted | None):
     """(key, place, slot values) of the windows of a text whose key is wanted."""
     words = (text or "").split()
     if not words:
         return
     at, plain, kind = template(words)
     for size in sizes:
-        keys, typed = window_keys(plain, kind, size)
-        hits = np.arange(len(keys)) if wanted is None else np.flatnonzero(_in(keys, wanted))
-        for i in hits.tolist():
-            slots = [f"{kind[j]}{bare(words[at[j]])}" for j in range(i, i + size)
-                     if kind[j] != _PLAIN] if typed[i] else []
-            yield int(keys[i].view(np.int64)), i, slots
-
-
-def _in(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    place = np.searchsorted(wanted, keys)
-    place[place == len(wanted)] = 0
-    return wanted[place] == keys if len(wanted) else np.zeros(len(keys), bool)
+        spelled, typed, usable = window_keys(plain, kind, size)
+        every = np.arange(len(spelled)) if wanted is None else wanted.places(spelled)
+        for i in every.tolist():
+            yield int(spelled[i].view(np.int64)), i, []
+        places = np.flatnonzero(usable)
+        if wanted is not None:
+            places = places[wanted.places(typed[places])]
+        for i in places.tolist():
+            yield int(typed[i].view(np.int64)), i, [
+                f"{kind[j]}{bare(words[at[j]])}" for j in range(i, i + size)
+                if kind[j] != _PLAIN]
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -160,7 +177,7 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 def document_windows(docs: DataFrame, sizes: list[int], wanted=None) -> DataFrame:
     """doc_id, text_key, key, at and slots of the windows of all documents.
 
-    ``wanted``: a broadcast of sorted keys; other windows are left out.
+    ``wanted``: a broadcast of the keys of the items; other windows are left out.
     """
     every = wanted is None
 
@@ -194,7 +211,7 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW,
     keys, wanted = table.select("key").distinct(), None
     if keys.count() <= sent_hashes:
         found = np.array([r["key"] for r in keys.collect()], np.int64).view(np.uint64)
-        wanted = spark.sparkContext.broadcast(np.sort(found))
+        wanted = spark.sparkContext.broadcast(Wanted(found))
     hits = document_windows(docs, sizes, wanted)
     theirs = table.select("item_id", "key", F.col("at").alias("item_at"),
                           F.col("slots").alias("item_slots"))

@@ -56,7 +56,7 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
             w.alias("a"), F.concat(F.slice(w, F.lit(2), F.size(w)), F.array(F.lit(None)))
             .alias("b")))).alias("p"))
     first, second = F.col("p")["a"], F.col("p")["b"]
-    grams = pairs.select("target", F.explode(F.array(
+    grams = pairs.where(first.isNotNull()).select("target", F.explode(F.array(
         _bucket(first, buckets=buckets),
         F.when(second.isNotNull(), _bucket(first, second, buckets=buckets)))).alias("bucket"))
     grams = grams.where("bucket is not null")

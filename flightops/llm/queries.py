@@ -22,7 +22,7 @@ def _tokenizer(name: str) -> str:
 
 def op1_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.substring_dedup(documents(spark, folder), keep_text=False).select(
-        "doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"), "n_factors")
+        "doc_id", "n_words", "n_removed", F.col("kept").alias("kept_sha256"))
 
 
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
