@@ -3,7 +3,7 @@
 Legs of one aircraft are ordered by date, scheduled departure and ``FlightId``.
 A window over the tail number would put all legs of an aircraft into one task,
 and placeholder tail numbers can own a large share of a table. So tails with
-more than a fixed share of all rows are walked in runs of one scheduled hour,
+too many legs are walked in runs of one scheduled minute,
 and a small table of run edges carries the neighbour across runs. Other tails
 take the plain window. Either way the result is the same.
 """
@@ -18,10 +18,7 @@ from pyspark.sql import functions as F
 from flightops.functions import as_flag, hhmm_to_minutes
 from flightops.schema import LIMITS
 
-# A tail is hot when it is among the HOT_TAILS longest and has more than HOT_ROWS
-# legs. HOT_TAILS bounds the list that is broadcast; a tail outside of it holds less
-# than one row in HOT_TAILS, so walking it in one task is safe at any table size.
-HOT_TAILS = 10_000
+# A tail with more legs is walked in runs; this changes the plan only.
 HOT_ROWS = 200_000
 
 _WALK = ("_day", "_clock", "FlightId")
@@ -29,12 +26,11 @@ _KEYS = ("_tail", "_run", "_day", "_clock")
 
 
 def hot_tails(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Tail numbers with too many legs for one task; at most ``HOT_TAILS`` rows."""
+    """Tail numbers with too many legs for one task."""
     return (
         df.filter(F.col("TailNum").isNotNull())
         .groupBy("TailNum").agg(F.count(F.lit(1)).alias("_legs"))
         .filter(F.col("_legs") > hot_rows)
-        .orderBy(F.desc("_legs"), "TailNum").limit(HOT_TAILS)
         .select("TailNum", F.lit(True).alias("_hot"))
     )
 
@@ -42,13 +38,13 @@ def hot_tails(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 def _with_keys(df: DataFrame, hot: DataFrame, how: str) -> DataFrame:
     day = F.coalesce(F.datediff("FlightDate", F.lit("2000-01-01").cast("date")), F.lit(9_999_999))
     clock = F.coalesce(F.col("CRSDepTime"), F.lit(9999))
-    return df.join(F.broadcast(hot), "TailNum", how).withColumns({
+    return df.join(hot, "TailNum", how).withColumns({
         # legs without a tail number have no neighbours: each is its own aircraft
         "_tail": F.coalesce("TailNum", F.concat(F.lit("#"), F.col("FlightId").cast("string"))),
         "_day": day,
         "_clock": clock,
     }).withColumn(
-        "_run", F.when(F.col("_hot"), F.col("_day") * 100 + F.floor(F.col("_clock") / 100))
+        "_run", F.when(F.col("_hot"), F.col("_day").cast("long") * 10_000 + F.col("_clock"))
     ).drop("_hot")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -43,10 +44,14 @@ def build_session(app: str = "flightops", master: str | None = None, **conf) ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, named by ``spark.checkpoint.dir``."""
+    """The folder all executors can reach, named by ``spark.checkpoint.dir``.
+
+    Only a session that runs in one process (``local`` or ``local[n]``) may do without: it
+    gets a folder of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
         folder = tempfile.mkdtemp(prefix="flightops-")
         atexit.register(shutil.rmtree, folder, ignore_errors=True)
@@ -55,22 +60,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-_STAGED: dict[tuple, str] = {}
+_STAGED: dict[tuple, tuple[DataFrame, str]] = {}
+_FOLDERS: set[str] = set()
 
 _EXPANSION = 4  # rows in a shuffle against compressed columns
 _PARTITION_BYTES = 128 << 20
-_MAX_PARTITIONS = 100_000
 
 
 def session_folder(spark: SparkSession) -> str:
-    """Where this session keeps its staged tables."""
-    return f"{shared_folder(spark)}/flightops/{spark.sparkContext.applicationId}"
+    """Where this session keeps its staged tables; it goes when the application ends."""
+    path = f"{shared_folder(spark)}/flightops/{spark.sparkContext.applicationId}"
+    if path not in _FOLDERS:
+        fs, target = _filesystem(spark, path)
+        fs.mkdirs(target)
+        fs.deleteOnExit(target)
+        _FOLDERS.add(path)
+    return path
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete the tables this session staged; frames read from them become unusable."""
     fs, folder = _filesystem(spark, session_folder(spark))
     fs.delete(folder, True)
+    _FOLDERS.discard(session_folder(spark))
     app = spark.sparkContext.applicationId
     for key in [k for k in _STAGED if k[0] == app]:
         del _STAGED[key]
@@ -93,11 +105,14 @@ def _source_state(spark: SparkSession, paths: tuple[str, ...]) -> tuple:
     return tuple(states)
 
 
+def stored_bytes(spark: SparkSession, paths: tuple[str, ...]) -> int:
+    return sum(length for _, length, _ in _source_state(spark, paths))
+
+
 def size_shuffles(spark: SparkSession, sources: tuple[str, ...]) -> None:
     """Raise ``spark.sql.shuffle.partitions`` so that a full shuffle of these files has
     partitions of about 128 MB; it is never lowered."""
-    stored = sum(length for _, length, _ in _source_state(spark, sources))
-    wanted = min(stored * _EXPANSION // _PARTITION_BYTES, _MAX_PARTITIONS)
+    wanted = stored_bytes(spark, sources) * _EXPANSION // _PARTITION_BYTES
     if wanted > int(spark.conf.get("spark.sql.shuffle.partitions")):
         spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
 
@@ -114,14 +129,22 @@ def staged(
 
     Used where a frame feeds several jobs: its work runs once, later reads prune
     columns and push filters, the planner knows the size, and a lost executor
-    costs a re-read instead of the whole lineage. With ``sources`` the table is
-    kept for the session and rebuilt when those files change.
+    costs a re-read instead of the whole lineage. A frame with the same plan over
+    the same state of ``sources`` and of its input files is read from the table
+    that the session has; any other frame is written anew.
     """
-    key = source_key(spark, name, sources) if sources else None
-    path = _STAGED.get(key) if key else None
-    if path is None:
-        path = f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
-        build().write.parquet(path)
-        if key:
-            _STAGED[key] = path
+    df = build()
+    key = (spark.sparkContext.applicationId, name, df.semanticHash(),
+           _source_state(spark, tuple(sorted({*sources, *_input_folders(spark, df)}))))
+    if key in _STAGED and df.sameSemantics(_STAGED[key][0]):
+        return spark.read.parquet(_STAGED[key][1])
+    path = f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    _STAGED[key] = df, path
     return spark.read.parquet(path)
+
+
+def _input_folders(spark: SparkSession, df: DataFrame) -> set[str]:
+    """Folders of the files that the plan reads; staged tables do not change."""
+    own = session_folder(spark).removeprefix("file://")
+    return {file.rpartition("/")[0] for file in df.inputFiles() if own not in file}

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightops.session import size_shuffles, staged
+from flightops.session import staged, stored_bytes
+
+SMALL_BYTES = 1 << 30
 
 
 def _clock(minutes: Column) -> Column:
@@ -81,13 +83,11 @@ def table_flights(spark: SparkSession, folder: str) -> DataFrame:
     lines, suppliers = f"{folder}/lineitem.parquet", f"{folder}/supplier.parquet"
 
     def derive() -> DataFrame:
-        source = spark.read.parquet(lines)
-        flights = flights_from_lines(source, spark.read.parquet(suppliers))
-        # one small file would keep all later scans on one core
-        slots = spark.sparkContext.defaultParallelism
-        return flights.repartition(slots) if len(source.inputFiles()) < slots else flights
+        flights = flights_from_lines(spark.read.parquet(lines), spark.read.parquet(suppliers))
+        # a small table may be one file, which would keep all later scans on one core
+        small = stored_bytes(spark, (lines,)) <= SMALL_BYTES
+        return flights.repartition(spark.sparkContext.defaultParallelism) if small else flights
 
-    size_shuffles(spark, (lines, suppliers))
     return staged(spark, "flights", derive, (lines, suppliers))
 
 

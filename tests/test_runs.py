@@ -96,17 +96,29 @@ def test_batch_scoring(spark, run):
 
 def test_staged_tables_follow_their_sources(spark, tmp_path):
     source = f"{tmp_path}/in"
-    built = []
 
-    def build():
-        built.append(1)
-        return spark.read.parquet(source).selectExpr("id + 1 AS id")
+    def table(n=1):
+        return staged(spark, "t", lambda: spark.read.parquet(source).selectExpr(
+            f"id + {n} AS id"), (source,))
 
     spark.range(3).write.parquet(source)
-    assert rows(staged(spark, "t", build, (source,))) == [(1,), (2,), (3,)]
-    assert staged(spark, "t", build, (source,)).count() == 3 and len(built) == 1
+    first = table()
+    assert rows(first) == [(1,), (2,), (3,)]
+    assert table().inputFiles() == first.inputFiles()  # the same table again
+    assert rows(table(5)) == [(5,), (6,), (7,)]  # another plan over the same files
     spark.range(5).write.mode("append").parquet(source)
-    assert staged(spark, "t", build, (source,)).count() == 8 and len(built) == 2
+    assert table().count() == 8
+
+
+def test_staged_tables_follow_their_plan(spark):
+    folder = "/root/testdata/sf0.001"
+    flights = table_flights(spark, folder)
+    sources = (f"{folder}/lineitem.parquet",)
+    count = lambda df: descriptive.carrier_table(
+        descriptive.measured(df), table_carriers(spark, folder), sources=sources
+    ).agg(F.sum("FlightCount")).first()[0]
+    assert count(flights.filter("Month = 1")) == 1524
+    assert count(flights) == 5875
 
 
 def test_drop_staged(spark, tmp_path):
