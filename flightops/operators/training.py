@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -9,7 +11,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightops.functions import one_row, ratio
+from flightops.functions import ratio
 from flightops.operators.evaluate import LABEL, PRED, SCORE, fold_metrics
 from flightops.schema import FEATURES
 from flightops.session import shared_folder
@@ -29,17 +31,21 @@ def class_weight(train: DataFrame, label: str = LABEL) -> DataFrame:
     ).withColumn("weight", ratio(F.col("negatives"), F.col("positives")))
 
 
-def with_class_weight(train: DataFrame, label: str = LABEL) -> DataFrame:
-    weight = class_weight(train, label).select(F.col("weight").alias("_weight"))
-    return one_row(train, weight).withColumn(
-        "ClassWeight", F.when(F.col(label) == 1, F.coalesce("_weight", F.lit(1.0))).otherwise(1.0)
-    ).drop("_weight")
+def with_class_weight(
+    train: DataFrame, label: str = LABEL, weight: float | None = None
+) -> DataFrame:
+    """Weigh positives by ``weight``; without it by the ratio in ``train``."""
+    if weight is None:
+        weight = class_weight(train, label).first()["weight"]
+    value = F.lit(1.0 if weight is None else float(weight))
+    return train.withColumn("ClassWeight", F.when(F.col(label) == 1, value).otherwise(1.0))
 
 
 def train_cascade(
-    train: DataFrame, features: tuple[str, ...] = FEATURES, label: str = LABEL, **params
+    train: DataFrame, features: tuple[str, ...] = FEATURES, label: str = LABEL,
+    weight: float | None = None, **params
 ) -> PipelineModel:
-    """Fit on filled features; rare positives weigh negatives / positives.
+    """Fit on filled features; rare positives weigh negatives / positives, or ``weight``.
 
     Give a frame read from files: every tree makes several passes over it.
     """
@@ -53,7 +59,7 @@ def train_cascade(
         **(DEFAULT_PARAMS | params),
     )
     return Pipeline(stages=[assembler, trees]).fit(
-        with_class_weight(train.select(label, *present), label)
+        with_class_weight(train.select(label, *present), label, weight)
     )
 
 
@@ -69,10 +75,21 @@ def score(df: DataFrame, model: PipelineModel) -> DataFrame:
 def cross_validate(
     folds: DataFrame, k: int = 5, label: str = LABEL, **params
 ) -> DataFrame:
-    """Metrics per fold: fit on the rows before it, test on its own rows."""
+    """Metrics per fold: fit on the rows before it, test on its own rows.
+
+    All fits take the class weight of the whole training part. They are submitted
+    together, so that their small jobs share the cluster.
+    """
+    weight = class_weight(folds, label).first()["weight"]
+
+    def fit(fold: int) -> PipelineModel:
+        return train_cascade(
+            folds.filter(F.col("ValFold") < fold), label=label, weight=weight, **params)
+
+    with ThreadPoolExecutor(k) as pool:
+        models = list(pool.map(fit, range(1, k + 1)))
     results = None
-    for fold in range(1, k + 1):
-        model = train_cascade(folds.filter(F.col("ValFold") < fold), label=label, **params)
+    for fold, model in enumerate(models, 1):
         part = fold_metrics(score(folds.filter(F.col("ValFold") == fold), model), label)
         results = part if results is None else results.unionByName(part)
     return results

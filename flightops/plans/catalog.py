@@ -602,9 +602,13 @@ def _(spark, folder):
 
 @query("jon01_carrier_name")
 def _(spark, folder):
-    # some codes are left out of the names, so that the left join has misses
-    names = table_carriers(spark, folder).filter("CAST(Code AS INT) % 4 <> 0")
-    return M.with_carrier_name(M.carrier_stats(_measured(spark, folder)), names).select(
+    # a few flights have an unknown code, so that the left join has misses
+    flights = _measured(spark, folder).withColumn("UniqueCarrier", F.when(
+        F.col("FlightNum") % 10 == 0, F.concat(F.lit("?"), "UniqueCarrier")
+    ).otherwise(F.col("UniqueCarrier")))
+    return M.with_carrier_name(
+        M.carrier_stats(flights), table_carriers(spark, folder)
+    ).select(
         "UniqueCarrier", "Description", "FlightCount"
     )
 
@@ -739,13 +743,13 @@ def _(spark, folder):
 
 @query("top17_chart_carrier_efficiency")
 def _(spark, folder):
-    return S.top_k(_carriers(spark, folder), "EfficiencyScore", 15, "UniqueCarrier",
+    return S.top_k(_carriers(spark, folder), "EfficiencyScore", 10, "UniqueCarrier",
                    cols=("Description", "EfficiencyScore"))
 
 
 @query("top17_chart_carrier_robustness")
 def _(spark, folder):
-    return S.top_k(_carriers(spark, folder), "RobustnessScore", 15, "UniqueCarrier",
+    return S.top_k(_carriers(spark, folder), "RobustnessScore", 10, "UniqueCarrier",
                    cols=("Description", "RobustnessScore"))
 
 
@@ -908,11 +912,19 @@ def _(spark, folder):
 
 @query("src07_bad_requests")
 def _(spark, folder):
-    # requests for the unknown airport lose their destination, those with an hour are cut
+    # requests for the unknown airport lose their destination, those with an hour are cut,
+    # and of the others each third one has a numeric field that is no number
+    flight = F.split("RequestId", "-")[0].cast("long")
+    unread = F.get(F.array(*[F.lit(n) for n in I.RAW_FIELDS[3:]]),
+                   (F.floor(flight / 3) % 9).cast("int"))
+    given = F.from_json("value", "map<string,string>")
+    spoiled = F.to_json(F.map_concat(
+        F.map_filter(given, lambda k, v: k != unread), F.create_map(unread, F.lit("1h"))))
     broken = _raw_requests(spark, folder).withColumn(
         "value",
         F.when(F.col("value").contains('"zzz"'), F.regexp_replace("value", '"dest"', '"to"'))
         .when(F.col("value").contains('"hour"'), F.lit("{broken"))
+        .when(flight % 3 == 0, spoiled)
         .otherwise(F.col("value")),
     )
     _, bad = I.split_bad_requests(I.parse_json_requests(broken))

@@ -669,9 +669,11 @@ _ORACLE = {
                     WHEN RobustnessScore < 40 THEN 'UNPREDICTABLE' END AS RobustnessBand
         FROM routes""",
     "jon01_carrier_name": """
-        SELECT UniqueCarrier, Description, FlightCount FROM cstats
-        LEFT JOIN (SELECT * FROM carriers WHERE CAST(Code AS INT) % 4 <> 0) ON Code = UniqueCarrier
-        """,
+        SELECT c.code AS UniqueCarrier, Description, FlightCount FROM (
+          SELECT CASE WHEN FlightNum % 10 = 0 THEN '?' ELSE '' END || UniqueCarrier AS code,
+                 count(FlightNum) AS FlightCount
+          FROM measured GROUP BY 1) c
+        LEFT JOIN carriers k ON k.Code = c.code""",
     "jon02_03_route_and_propagation": """
         SELECT Route, OnTimeRate, P90TaxiOut, CancelRate, PropagationRate, FlightsWithIncomingDelay,
                TotalFlights, ConditionalRate FROM rstats LEFT JOIN rprop USING (Route)""",
@@ -744,9 +746,9 @@ _ORACLE = {
         "Route, AvgAirTimeDeviationPct", "(SELECT * FROM airt WHERE HasAirTimeIssue = 1)",
         "AvgAirTimeDeviationPct", 10),
     "top17_chart_carrier_efficiency": _top(
-        "UniqueCarrier, Description, EfficiencyScore", "ctable", "EfficiencyScore", 15),
+        "UniqueCarrier, Description, EfficiencyScore", "ctable", "EfficiencyScore", 10),
     "top17_chart_carrier_robustness": _top(
-        "UniqueCarrier, Description, RobustnessScore", "ctable", "RobustnessScore", 15),
+        "UniqueCarrier, Description, RobustnessScore", "ctable", "RobustnessScore", 10),
     "top17_chart_carrier_propagation": """
         SELECT UniqueCarrier, round_even(rate*100*1000000, 0)/1000000 AS PropagationRate
         FROM (SELECT UniqueCarrier, PropagationRate AS rate FROM cprop
@@ -856,8 +858,16 @@ _ORACLE = {
                CAST(ArrDelay AS VARCHAR) AS incoming_delay
         FROM flights""",
     "src07_bad_requests": """
-        SELECT 'JSON must have features or a raw flight' AS _error, count(*) AS requests
-        FROM flights WHERE FlightNum % 5 = 0 OR FlightNum % 4 = 1""",
+        SELECT _error, count(*) AS requests FROM (
+          SELECT CASE WHEN FlightNum % 5 = 0 OR FlightNum % 4 = 1
+                      THEN 'JSON must have features or a raw flight'
+                      WHEN (FlightNum // 8) % 3 = 0
+                      THEN 'bad ' || (['hour', 'day_of_week', 'month', 'distance',
+                        'crs_elapsed_time', 'incoming_delay', 'incoming_dep_delay',
+                        'turnaround_time', 'position_in_rotation'])[
+                        ((FlightNum // 8) // 3) % 9 + 1] END AS _error
+          FROM flights)
+        WHERE _error IS NOT NULL GROUP BY _error""",
     "srv01_features_from_raw": _REQUEST_FEATURES,
     "srv04_feature_stream": _AS_DOUBLES,
     "srv02_fixed_tiers": """
