@@ -133,11 +133,14 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCO
             (total / n).alias("score"))
 
     # the table is one value for the whole query: the optimizer puts it where it is used
-    counted = docs.select(F.struct("*").alias("row"), table.alias("weights")).select(
-        "row", let(words(text), counts).alias("c"),
-        (F.length(text) - F.length(_replace_all(text, SYMBOLS))).cast("long").alias("n_symbols"),
+    source = docs.select(F.struct("*").alias("row"), table.alias("weights"))
+    # a generator, so that a filter on the result does not compute the counts again
+    counted = source.select("row", F.inline(F.array(F.struct(
+        let(words(text), counts).alias("c"),
+        (F.length(text) - F.length(_replace_all(text, SYMBOLS))).cast("long")
+        .alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
-        .alias("n_dup_lines"))
+        .alias("n_dup_lines")))))
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return counted.select("row", "c.n_words", "c.word_chars", "n_symbols", "n_dup_lines",

@@ -10,8 +10,8 @@ level, and with it any single id, is found without decoding its neighbours.
 Layout of a segment (little endian): ``n`` levels as uint32, then per level the number of
 entries (uint32), the entries, the bitmap and the directory (uint32 per block).
 
-Encoding keeps the ids of every space-separated piece that it has met; texts in which pieces
-could depend on their neighbours go to the tokenizer whole.
+Encoding keeps the ids of pieces and words that it has met; texts in which words could depend
+on their neighbours go to the tokenizer whole.
 
 Defined results: null text is empty and gives the end id alone, null doc_ids come first,
 repeated rows are written as often as they occur, in equal places; an empty table gives no
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from itertools import chain
 
@@ -35,7 +36,7 @@ from flightops.llm.common import number_of_tasks
 END_ID = 0
 SEGMENT_IDS = 1 << 20
 BLOCK = 512  # bits of a rank directory block
-REMEMBERED = 1 << 19  # pieces whose ids a task keeps
+REMEMBERED = 3 << 18  # pieces whose ids a task keeps
 
 SEGMENT = ("first_id long, last_id long, part int, seq int, n_ids long, doc_ids array<long>, "
            "lengths array<long>, codes binary")
@@ -99,9 +100,22 @@ def unpack(codes: bytes) -> np.ndarray:
     return rest
 
 
-# A space between two other spaces may join either neighbour; these classes differ between
-# libraries. Texts with any of them are encoded whole.
-_WHOLE = re.compile(r"\s \s|<\||[\x1c-\x1f\x85\xa0²³¹¼½¾]|[^\x00-ɏ]")
+# In these texts the words that the tokenizer sees can be told by a plain pattern. Others are
+# encoded whole: special tokens, spaces that may join either neighbour, characters beyond
+# Latin-1, and characters whose class differs between libraries.
+_ODD = bytes([*range(0x1C, 0x20), 0x85, 0xA0, 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE])
+_ODD_SPACES = ("  ", " \n", " \t", " \r", " \v", " \f", "<|")
+_PARTS = re.compile(  # fixed: the words of the byte-level vocabulary
+    r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
+
+
+def _is_plain(text: str) -> bool:
+    try:
+        data = text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return len(data.translate(None, _ODD)) == len(data) and not any(
+        s in text for s in _ODD_SPACES)
 
 
 class Encoder:
@@ -112,27 +126,46 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # a space and the piece
+        self.parts: dict[str, bytes] = {}  # other words of the tokenizer
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        done = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in done]
+        done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in done)]
+
+    def _learn_letters(self, words: set[str]) -> None:
+        """A space and letters are one word of the tokenizer."""
+        new = list(words.difference(self.pieces))
+        self.pieces.update(zip(new, self._encode([" " + w for w in new])))
+
+    def _joined(self, texts: list[str]) -> list[bytes]:
+        """Ids of short texts, from those of their words."""
+        found = list(map(_PARTS.findall, texts))
+        words = set(chain.from_iterable(found))
+        letters = {w for w in words if w[0] == " " and w[1:].isalpha()}
+        self._learn_letters({w[1:] for w in letters})
+        words -= letters
+        new = list(words.difference(self.parts))
+        self.parts.update(zip(new, self._encode(new)))
+        known = {w: self.parts[w] for w in words} | {w: self.pieces[w[1:]] for w in letters}
+        return [b"".join(map(known.__getitem__, f)) for f in found]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if _WHOLE.search(t)]
+        if max(len(self.pieces), len(self.parts)) > REMEMBERED:
+            self.pieces, self.parts = {}, {}
+        whole = [i for i, t in enumerate(texts) if not _is_plain(t)]
         apart = set(whole)
-        # the first piece has no space before it; a line of its own cannot clash with others
-        split = [() if i in apart else t.split(" ") for i, t in enumerate(texts)]
-        firsts = list({p[0] for p in split if p})
-        first = dict(zip(firsts, self._encode(firsts)))
-        split = [(p[0], p[1:]) if p else ("", ()) for p in split]
-        seen = set(chain.from_iterable(rest for _, rest in split))
-        if len(self.known) + len(seen) > REMEMBERED:
-            self.known = {}
-        new = list(seen.difference(self.known))
-        self.known.update(zip(new, self._encode([" " + p for p in new])))
-        known = self.known.__getitem__
-        out = [first.get(a, b"") + b"".join(map(known, rest)) for a, rest in split]
+        split = [[""] if i in apart else t.split(" ") for i, t in enumerate(texts)]
+        # the first piece has no space before it
+        out = self._joined([p[0] for p in split])
+        split = [p[1:] for p in split]
+        new = set(chain.from_iterable(split)).difference(self.pieces)
+        letters = set(filter(str.isalpha, new))
+        self._learn_letters(letters)
+        others = list(new - letters)
+        self.pieces.update(zip(others, self._joined([" " + p for p in others])))
+        known = self.pieces.__getitem__
+        out = [a + b"".join(map(known, rest)) for a, rest in zip(out, split)]
         for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
             out[i] = ids
         return out
