@@ -60,7 +60,7 @@ def test_tables(spark):
 
 
 def test_ownership(spark):
-    common, own = "Abcdefgh1234567890abcdefghIJ", "Zbcdefgh1234567890abcdefghIJ"
+    common, own = "Qwrtyzgh12345678qwrtyzghIJKL", "Zwrtyzgh12345678qwrtyzghIJKL"
     texts = [f"example {common} here"] * 4 + [f"my {own} key", "nothing"]
     found = {r["doc_id"]: r for r in secrets.secret_scan(docs_of(spark, texts)).select(
         "doc_id", "n_live", "n_example", secrets.listed(secrets.F.col("spans")).alias("s")
