@@ -3,10 +3,11 @@
 A text becomes a template: numbers, units and names (capitalised words inside a sentence)
 turn into typed placeholders, other words lose case and outer punctuation. Windows of the
 template are hashed and joined with the windows of all benchmark items. A hit carries the
-values in its slots; an alignment of an item in a document counts only if every item value
-always meets the same document value, so a question whose numbers or names were exchanged
-throughout is found and chance hits of bare placeholders are not. Template windows need some
-plain words; all windows are also compared as they are spelled, without case and punctuation.
+values in its slots; within an alignment of an item in a document, an item value that meets several document
+values takes the template windows that carry it out of the count, so a question whose numbers or
+names were exchanged throughout is found and chance hits of bare placeholders are not. Template
+windows need some plain words; all windows are also compared as they are spelled, without case
+and punctuation, and these count whatever the slots say.
 
 The benchmark is the query set. If the hashes of its windows fit a bound, they are sent to
 the tasks, which then emit hits only; otherwise all windows are emitted and joined.
@@ -220,13 +221,18 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW,
         "item_at", F.arrays_zip("item_slots", "slots").alias("values"))
     # an item in one alignment has few windows and slots, however long the document is
     aligned = pairs.groupBy("doc_id", "text_key", "item_id", "shift").agg(
-        F.collect_set("item_at").alias("places"),
-        F.array_distinct(F.flatten(F.collect_set("values"))).alias("values"))
-    aligned = aligned.where(
-        F.size("values") == F.size(F.array_distinct(F.col("values.item_slots"))))
+        F.collect_set(F.when(F.size("values") == 0, F.col("item_at"))).alias("spelled"),
+        F.collect_set(F.when(F.size("values") > 0, F.struct("item_at", "values"))).alias("typed"),
+        F.sort_array(F.array_distinct(F.flatten(F.collect_set("values")))).alias("values"))
+    aligned = aligned.withColumn("unsure", F.array_distinct(F.filter("values", lambda v, i: (
+        v["item_slots"] == F.get("values", i - 1)["item_slots"]))["item_slots"]))
+    aligned = aligned.withColumn("typed", F.filter("typed", lambda t: ~F.exists(
+        t["values"], lambda v: F.array_contains("unsure", v["item_slots"]))))
     counted = aligned.select(
-        "doc_id", "text_key", "item_id", F.explode("places").alias("place"),
-        F.exists("values", lambda v: v["item_slots"] != v["slots"]).alias("changed"),
+        "doc_id", "text_key", "item_id",
+        F.exists("typed", lambda t: F.exists(
+            t["values"], lambda v: v["item_slots"] != v["slots"])).alias("changed"),
+        F.explode(F.array_union("spelled", F.col("typed.item_at"))).alias("place"),
     ).groupBy("doc_id", "text_key", "item_id").agg(
         F.count_distinct("place").alias("n_matched"), F.max("changed").alias("changed"))
     n_windows = table.groupBy("item_id").agg(F.count_distinct("at").alias("n_windows"))

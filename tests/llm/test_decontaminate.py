@@ -34,6 +34,19 @@ def test_inconsistent_slots_do_not_count(spark):
     assert leaks(spark, [(1, f"{PROSE} {MIXED}")], [(1, ITEM)]) == {}
 
 
+def test_one_altered_value_leaves_the_spelled_windows(spark):
+    """A copy with one wrong number: its template windows conflict, its words do not."""
+    long = ITEM + " " + " ".join(f"then the {w} goes to town" for w in (
+        "baker", "miller", "smith", "tailor", "weaver", "potter"))
+    typo = long.replace("after 12 days", "after 13 days")
+    swapped = long.replace("Alice", "Robert").replace("after 12 days", "after 13 days")
+    found = leaks(spark, [(1, f"{PROSE} {typo}"), (2, f"{PROSE}. {swapped}")], [(1, long)])
+    assert set(found) == {(1, 1), (2, 1)}
+    assert not found[1, 1]["reparameterised"] and found[2, 1]["reparameterised"]
+    n = len(long.split()) - 7
+    assert found[1, 1]["n_matched"] == n - 8
+
+
 def test_tables_against_text_search(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
