@@ -9,6 +9,12 @@ names were exchanged throughout is found and chance hits of bare placeholders ar
 windows need some plain words; all windows are also compared as they are spelled, without case
 and punctuation, and these count whatever the slots say.
 
+A document holds an item in one of three ways: half of the item's windows align; or half of
+those that have enough plain words, with some value exchanged, since windows of mostly slots
+cannot match in a re-parameterised copy; or a run of ``MIN_RUN`` words stands in it as spelled,
+however long the item is. An item without any window of enough plain words is found as spelled
+only.
+
 The benchmark is the query set. If the hashes of its windows fit a bound, they are sent to
 the tasks, which then emit hits only; otherwise all windows are emitted and joined.
 
@@ -23,14 +29,15 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flightops.llm.common import stored
 
 WINDOW = 8
-MIN_PLAIN = 5  # plain words that a template window has at least
+MIN_PLAIN = 5  # plain words that a template window has at least; in shorter items the same share
 MIN_COVERAGE = 0.5  # windows of an item that a document must hold
+MIN_RUN = 20  # words of an item in one piece, as spelled, that are a hit by themselves
 SENT_HASHES = 4_000_000  # window hashes that are sent to the tasks (32 MB)
 
 # fixed: units of measure
@@ -100,11 +107,11 @@ def template(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def window_keys(plain: np.ndarray, kind: np.ndarray, size: int):
-    """Keys of the spelled windows, those of the template windows, and where the latter have
-    slots and enough plain words."""
+    """Keys of the spelled windows, those of the template windows, and how many plain words
+    each has."""
     n = len(plain) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     slot = np.where(kind == _PLAIN, plain, kind.astype(np.uint64))
     spelled = np.full(n, size, np.uint64)
     typed = np.zeros(n, np.uint64)
@@ -112,8 +119,12 @@ def window_keys(plain: np.ndarray, kind: np.ndarray, size: int):
         spelled = _mix(spelled + plain[i:i + n])
         typed = _mix(typed + slot[i:i + n])
     count = np.cumsum(np.append(0, kind == _PLAIN))
-    count = count[size:] - count[:-size]
-    return spelled, typed, (count >= min(MIN_PLAIN, size)) & (count < size)
+    return spelled, typed, count[size:] - count[:-size]
+
+
+def least_plain(size: int) -> int:
+    """Plain words that a template window of ``size`` words has at least."""
+    return min(MIN_PLAIN, -(-MIN_PLAIN * size // WINDOW))
 
 
 class Wanted:
@@ -141,11 +152,11 @@ def _windows(text: str | None, sizes, wanted: Wanted | None):
         return
     at, plain, kind = template(words)
     for size in sizes:
-        spelled, typed, usable = window_keys(plain, kind, size)
+        spelled, typed, count = window_keys(plain, kind, size)
         every = np.arange(len(spelled)) if wanted is None else wanted.places(spelled)
         for i in every.tolist():
             yield int(spelled[i].view(np.int64)), i, []
-        places = np.flatnonzero(usable)
+        places = np.flatnonzero((count >= least_plain(size)) & (count < size))
         if wanted is not None:
             places = places[wanted.places(typed[places])]
         for i in places.tolist():
@@ -155,24 +166,28 @@ def _windows(text: str | None, sizes, wanted: Wanted | None):
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """item_id, key, at, slots and size of all windows of the items."""
+    """item_id, key, at, slots and size of all windows of the items, and whether the window has
+    enough plain words (``wordy``)."""
 
     def cut(batches):
         for batch in batches:
             out = []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = len(template((text or "").split())[0])
-                if n:
-                    size = min(window, n)
-                    out += [(item, *w, size) for w in _windows(text, (size,), None)]
-            columns = list(zip(*out)) if out else [[]] * 5
+                _, plain, kind = template((text or "").split())
+                if len(plain):
+                    size = min(window, len(plain))
+                    wordy = window_keys(plain, kind, size)[2] >= least_plain(size)
+                    out += [(item, *w, size, bool(wordy[w[1]]))
+                            for w in _windows(text, (size,), None)]
+            columns = list(zip(*out)) if out else [[]] * 6
             yield pa.RecordBatch.from_arrays([
                 pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()),
                 pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.list_(pa.string())),
-                pa.array(columns[4], pa.int32())], ["item_id", "key", "at", "slots", "size"])
+                pa.array(columns[4], pa.int32()), pa.array(columns[5], pa.bool_())],
+                ["item_id", "key", "at", "slots", "size", "wordy"])
 
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
-    return rows.mapInArrow(cut, f"item_id long, {_WINDOWS}, size int")
+    return rows.mapInArrow(cut, f"item_id long, {_WINDOWS}, size int, wordy boolean")
 
 
 def document_windows(docs: DataFrame, sizes: list[int], wanted=None) -> DataFrame:
@@ -202,10 +217,23 @@ def document_windows(docs: DataFrame, sizes: list[int], wanted=None) -> DataFram
     return rows.mapInArrow(cut, f"doc_id long, text_key long, {_WINDOWS}")
 
 
+def _longest_run(places: Column) -> Column:
+    """Length of the longest run of neighbours in sorted places."""
+    zero = F.struct(F.lit(-2).alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
+
+    def step(acc: Column, place: Column) -> Column:
+        run = F.when(place == acc["last"] + 1, acc["run"] + 1).otherwise(F.lit(1))
+        return F.struct(place.alias("last"), run.alias("run"),
+                        F.greatest(acc["best"], run).alias("best"))
+
+    return F.aggregate(places, zero, step, lambda acc: acc["best"])
+
+
 def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW,
-          min_coverage: float = MIN_COVERAGE, sent_hashes: int = SENT_HASHES) -> DataFrame:
-    """doc_id, text_key, item_id, n_matched, n_windows, coverage and reparameterised for each
-    document and item that it holds."""
+          min_coverage: float = MIN_COVERAGE, sent_hashes: int = SENT_HASHES,
+          min_run: int = MIN_RUN) -> DataFrame:
+    """doc_id, text_key, item_id, n_matched, n_windows, coverage, reparameterised and run_words
+    (the longest piece as spelled) for each document and item that it holds."""
     spark = docs.sparkSession
     table = stored(item_windows(items, window), "benchmark-windows")
     sizes = [r["size"] for r in table.select("size").distinct().collect()]  # at most `window`
@@ -215,14 +243,16 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW,
         wanted = spark.sparkContext.broadcast(Wanted(found))
     hits = document_windows(docs, sizes, wanted)
     theirs = table.select("item_id", "key", F.col("at").alias("item_at"),
-                          F.col("slots").alias("item_slots"))
+                          F.col("slots").alias("item_slots"), "size", "wordy")
     pairs = hits.join(theirs, "key").select(
         "doc_id", "text_key", "item_id", (F.col("at") - F.col("item_at")).alias("shift"),
-        "item_at", F.arrays_zip("item_slots", "slots").alias("values"))
+        "item_at", "size", "wordy", F.arrays_zip("item_slots", "slots").alias("values"))
     # an item in one alignment has few windows and slots, however long the document is
     aligned = pairs.groupBy("doc_id", "text_key", "item_id", "shift").agg(
         F.collect_set(F.when(F.size("values") == 0, F.col("item_at"))).alias("spelled"),
         F.collect_set(F.when(F.size("values") > 0, F.struct("item_at", "values"))).alias("typed"),
+        F.collect_set(F.when(F.col("wordy"), F.col("item_at"))).alias("wordy"),
+        F.first("size").alias("size"),
         F.sort_array(F.array_distinct(F.flatten(F.collect_set("values")))).alias("values"))
     aligned = aligned.withColumn("unsure", F.array_distinct(F.filter("values", lambda v, i: (
         v["item_slots"] == F.get("values", i - 1)["item_slots"]))["item_slots"]))
@@ -232,15 +262,27 @@ def leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW,
         "doc_id", "text_key", "item_id",
         F.exists("typed", lambda t: F.exists(
             t["values"], lambda v: v["item_slots"] != v["slots"])).alias("changed"),
+        F.when(F.size("spelled") > 0, _longest_run(F.sort_array("spelled")) + F.col("size") - 1)
+        .otherwise(0).alias("run_words"), "wordy",
         F.explode(F.array_union("spelled", F.col("typed.item_at"))).alias("place"),
+    ).withColumn("wordy", F.array_contains("wordy", F.col("place"))).groupBy(
+        "doc_id", "text_key", "item_id", "place").agg(
+        F.max("changed").alias("changed"), F.max("run_words").alias("run_words"),
+        F.max("wordy").alias("wordy"),
     ).groupBy("doc_id", "text_key", "item_id").agg(
-        F.count_distinct("place").alias("n_matched"), F.max("changed").alias("changed"))
-    n_windows = table.groupBy("item_id").agg(F.count_distinct("at").alias("n_windows"))
+        F.count("*").alias("n_matched"), F.max("changed").alias("changed"),
+        F.max("run_words").alias("run_words"), F.count_if("wordy").alias("n_wordy_matched"))
+    n_windows = table.groupBy("item_id", "at").agg(F.max("wordy").alias("wordy")).groupBy(
+        "item_id").agg(F.count("*").alias("n_windows"), F.count_if("wordy").alias("n_wordy"))
     coverage = F.col("n_matched") / F.col("n_windows")
+    held = (F.col("coverage") >= min_coverage) | (F.col("run_words") >= min_run) | (
+        F.col("reparameterised") & (F.col("n_wordy_matched") >= min_coverage * F.col("n_wordy"))
+        & (F.col("n_wordy_matched") > 0))
     return counted.join(n_windows.withColumnRenamed("item_id", "item"),
                         F.col("item_id").eqNullSafe(F.col("item"))).select(
         "doc_id", "text_key", "item_id", "n_matched", "n_windows", coverage.alias("coverage"),
-        F.col("changed").alias("reparameterised")).where(F.col("coverage") >= min_coverage)
+        F.col("changed").alias("reparameterised"), "run_words", "n_wordy_matched", "n_wordy",
+    ).where(held).drop("n_wordy_matched", "n_wordy")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:

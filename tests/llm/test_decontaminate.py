@@ -47,6 +47,29 @@ def test_one_altered_value_leaves_the_spelled_windows(spark):
     assert found[1, 1]["n_matched"] == n - 8
 
 
+def test_a_long_piece_of_a_longer_item(spark):
+    words = [f"word{i}" for i in range(300)]
+    piece = lambda n: f"{PROSE} " + " ".join(words[100:100 + n]) + f" {PROSE}"
+    n = decontaminate.MIN_RUN
+    found = leaks(spark, [(1, piece(100)), (2, piece(n)), (3, piece(n - 1))],
+                  [(1, " ".join(words))])
+    assert set(found) == {(1, 1), (2, 1)}
+    assert found[1, 1]["run_words"] == 100 and found[1, 1]["coverage"] < 0.5
+
+
+def test_items_of_many_slots(spark):
+    maths = ("if you add 3 apples to the basket then 4 5 6 7 8 9 10 11 12 13 14 15 and 16 17 18 "
+             "19 20 remain")
+    other = ("if you add 21 apples to the basket then 22 23 24 25 26 27 28 29 30 31 32 33 and 34 "
+             "35 36 37 38 remain")
+    short, exchanged = "what is 12 times 30 here", "what is 47 times 95 here"
+    found = leaks(spark, [(1, f"{PROSE} {other}"), (2, f"{PROSE} {exchanged} {PROSE}"),
+                          (3, f"{PROSE} 22 23 24 25 26 27 28 29 30 31 32 33 {PROSE}")],
+                  [(1, maths), (2, short)])
+    assert set(found) == {(1, 1), (2, 2)}
+    assert all(r["reparameterised"] for r in found.values())
+
+
 def test_tables_against_text_search(spark):
     folder = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{folder}/documents.parquet")
