@@ -3,8 +3,11 @@
 The n-grams (words and pairs of neighbours) of all documents are hashed into a fixed number
 of buckets and counted twice: over the corpus, and over the documents that a label calls
 good. A document's score is the mean over its n-grams of ``log p_target - log p_raw`` with
-add-alpha smoothing. Everything is DataFrame functions; the only shuffles are the join of
-labels to texts and one row per task and bucket.
+add-alpha smoothing. How far an unseen good document falls below zero depends on the amount of
+labels and of corpus, so the cut comes from the good documents themselves: each is scored without
+its own counts in the target, and the cut is lowered until 1 % of them at most fall below it.
+Everything is DataFrame functions; the only shuffles are the join of labels to texts and one row
+per task and bucket. The good documents are stored once.
 
 Defined results: null text has no words; a document below 50 words fails; without any good
 label the ratio is 0 and only the base rules decide; repeated rows and null ids are scored
@@ -20,7 +23,9 @@ from flightops.llm.common import SPACES, let, stored, words
 
 BUCKETS = 1 << 17
 ALPHA = 1.0
-MIN_SCORE = -0.2  # nats per n-gram
+MIN_SCORE = -0.2  # nats per n-gram; the cut is never above
+MAX_LOST = 0.01  # share of the good documents, scored as unseen, that the cut may reject
+SCORE_STEPS = 10_000  # a nat, for the quantile only
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 LOOKED_UP = 32  # changes the plan only
@@ -44,24 +49,33 @@ def good_documents(labels: DataFrame) -> DataFrame:
         F.col("doc_id").alias("good_id")).distinct()
 
 
-def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
-            alpha: float = ALPHA) -> DataFrame:
-    """One row with the log ratio of every bucket, in order; ``buckets`` bounds its size."""
+def good_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that some label calls good: their text."""
     texts = docs.select(F.col("doc_id").alias("id"), "text")
-    good = good_documents(labels)
     # labels cover a share of all documents, so they are never small where texts are many
-    pairs = texts.join(good.hint("merge"), F.col("id") == F.col("good_id"), "left").select(
-        F.col("good_id").isNotNull().cast("long").alias("target"),
+    return texts.join(good_documents(labels).hint("merge"), F.col("id") == F.col("good_id"),
+                      "left_semi").select("text")
+
+
+def _bucket_counts(texts: DataFrame, name: str, buckets: int) -> DataFrame:
+    """Occurrences ``name`` of each ``bucket`` in ``texts``."""
+    pairs = texts.select(
         F.explode(let(words(F.col("text")), lambda w: F.arrays_zip(
             w.alias("a"), F.concat(F.slice(w, F.lit(2), F.size(w)), F.array(F.lit(None)))
             .alias("b")))).alias("p"))
     first, second = F.col("p")["a"], F.col("p")["b"]
-    grams = pairs.where(first.isNotNull()).select("target", F.explode(F.array(
+    grams = pairs.where(first.isNotNull()).select(F.explode(F.array(
         _bucket(first, buckets=buckets),
         F.when(second.isNotNull(), _bucket(first, second, buckets=buckets)))).alias("bucket"))
-    grams = grams.where("bucket is not null")
-    counts = grams.groupBy("bucket").agg(
-        F.count("*").alias("raw"), F.sum("target").alias("target"))
+    return grams.where("bucket is not null").groupBy("bucket").agg(F.count("*").alias(name))
+
+
+def weights(docs: DataFrame, good: DataFrame, buckets: int = BUCKETS,
+            alpha: float = ALPHA) -> DataFrame:
+    """One row with the log ratio and the target count of every bucket, in order, and the sum of
+    the latter; ``buckets`` bounds its size. ``good``: the texts of the target."""
+    counts = _bucket_counts(docs, "raw", buckets).join(
+        _bucket_counts(good, "target", buckets), "bucket", "left")
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
     one = every.join(counts, "bucket", "left").select(
         "bucket", F.coalesce("raw", F.lit(0)).alias("raw"),
@@ -73,7 +87,29 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS,
         F.log((x["target"] + alpha) / (F.col("all_target") + alpha * buckets))
         - F.log((x["raw"] + alpha) / (F.col("all_raw") + alpha * buckets))))
     none = F.transform("counts", lambda x: F.lit(0.0))
-    return one.select(F.when(F.col("all_target") > 0, ratio).otherwise(none).alias("weights"))
+    return one.select(F.when(F.col("all_target") > 0, ratio).otherwise(none).alias("weights"),
+                      F.col("counts.target").alias("target"), "all_target")
+
+
+def _own_share(grams: Column, n: Column, buckets: int, alpha: float) -> Column:
+    """What a text of the target adds to the sum of its weights by its own counts."""
+    zero = F.struct(F.lit(-1).alias("bucket"), F.lit(0).cast("long").alias("n"),
+                    F.lit(0.0).alias("sum"))
+
+    def closed(acc: Column) -> Column:
+        seen = F.get("target", acc["bucket"])
+        return F.when(acc["n"] == 0, acc["sum"]).otherwise(acc["sum"] + acc["n"] * (
+            F.log(seen + alpha) - F.log(seen - acc["n"] + alpha)))
+
+    def step(acc: Column, bucket: Column) -> Column:
+        same = acc["bucket"] == bucket
+        return F.struct(bucket.alias("bucket"),
+                        F.when(same, acc["n"] + 1).otherwise(F.lit(1).cast("long")).alias("n"),
+                        F.when(same, acc["sum"]).otherwise(closed(acc)).alias("sum"))
+
+    total = F.col("all_target") + alpha * buckets
+    return F.aggregate(F.sort_array(grams), zero, step, closed) + n * (
+        F.log(total - n) - F.log(total))
 
 
 def repeat_words(w: Column) -> Column:
@@ -114,26 +150,33 @@ def _replace_all(text: Column, chars: str) -> Column:
     return text
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE,
-                  buckets: int = BUCKETS, alpha: float = ALPHA) -> DataFrame:
-    """``row`` (all columns of ``docs``), the base counts, ``score``, ``base_failed``, ``kept``."""
-    table = stored(weights(docs, labels, buckets, alpha), "quality-weights").scalar()
+def _measured(docs: DataFrame, table: DataFrame, buckets: int, alpha: float,
+              unseen: bool = False) -> DataFrame:
+    """``row`` (all columns of ``docs``), the base counts, ``score`` and ``base_failed``; of texts
+    of the target the score without their own counts, if ``unseen``."""
     text = F.coalesce(F.col("row.text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1),
                      lambda line: F.trim(line, F.lit(SPACES)) != "")
 
+    def scored(grams: Column, n: Column) -> Column:
+        total = F.aggregate(grams, F.lit(0.0), lambda a, b: a + F.get("weights", b))
+        if unseen:
+            total = total - _own_share(grams, n, buckets, alpha)
+        return total / n
+
     def counts(w: Column) -> Column:
-        total = F.aggregate(_grams(w, buckets), F.lit(0.0),
-                            lambda a, b: a + F.get("weights", b))
         n = F.greatest(2 * F.size(w) - 1, F.lit(1))
+        grams = _grams(w, buckets)
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
             F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             repeat_words(w).cast("long").alias("n_repeat_words"),
-            (total / n).alias("score"))
+            (let(grams, lambda g: scored(g, n)) if unseen else scored(grams, n)).alias("score"))
 
     # the table is one value for the whole query: the optimizer puts it where it is used
-    source = docs.select(F.struct("*").alias("row"), table.alias("weights"))
+    needed = ("weights", "target", "all_target") if unseen else ("weights",)
+    source = docs.select(F.struct("*").alias("row"),
+                         *(table.select(c).scalar().alias(c) for c in needed))
     # a generator, so that a filter on the result does not compute the counts again
     counted = source.select("row", F.inline(F.array(F.struct(
         let(words(text), counts).alias("c"),
@@ -144,6 +187,25 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCO
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return counted.select("row", "c.n_words", "c.word_chars", "n_symbols", "n_dup_lines",
-                          "c.n_repeat_words", "c.score").withColumn(
-        "base_failed", failed).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("score") >= min_score))
+                          "c.n_repeat_words", "c.score").withColumn("base_failed", failed)
+
+
+def cut(good: DataFrame, table: DataFrame, min_score: float = MIN_SCORE,
+        max_lost: float = MAX_LOST, buckets: int = BUCKETS, alpha: float = ALPHA) -> DataFrame:
+    """One row with the least score that is kept, from all texts of the target."""
+    unseen = _measured(good, table, buckets, alpha, unseen=True).where("not base_failed")
+    # rounded down, so the quantile merges few distinct values
+    steps = F.floor(F.col("score") * SCORE_STEPS)
+    return unseen.agg(F.least(F.lit(min_score), F.coalesce(
+        F.percentile(steps, max_lost) / SCORE_STEPS, F.lit(min_score))).alias("cut"))
+
+
+def quality_rules(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE,
+                  buckets: int = BUCKETS, alpha: float = ALPHA,
+                  max_lost: float = MAX_LOST) -> DataFrame:
+    """``row`` (all columns of ``docs``), the base counts, ``score``, ``base_failed``, ``kept``."""
+    good = stored(good_texts(docs, labels), "quality-good")
+    table = stored(weights(docs, good, buckets, alpha), "quality-weights")
+    least = stored(cut(good, table, min_score, max_lost, buckets, alpha), "quality-cut").scalar()
+    return _measured(docs, table, buckets, alpha).withColumn(
+        "kept", ~F.col("base_failed") & (F.col("score") >= least))

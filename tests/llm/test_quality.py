@@ -88,3 +88,29 @@ def test_keeps_good_documents(spark):
     count = {(r["quality"], r["kept"]): r["count"] for r in found}
     assert count.get((1, False), 0) <= 0.01 * count[1, True]
     assert count.get((0, True), 0) <= 0.1 * count[0, False]
+
+
+def test_keeps_good_documents_outside_the_target(spark):
+    """One good document in five has no label; they are kept like the others."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    left_out = "quality = 1 and pmod(hash(doc_id), 5) = 0"
+    found = quality.quality_rules(docs, labels.where(f"not ({left_out})")).select(
+        "row.doc_id", "kept", "base_failed").where("not base_failed")
+    unseen = found.join(labels.where(left_out), "doc_id").groupBy("kept").count().collect()
+    count = {r["kept"]: r["count"] for r in unseen}
+    assert count[True] >= 50 and count.get(False, 0) <= 0.05 * count[True]
+
+
+def test_score_without_own_counts(spark):
+    texts = ["a b c a b", "a b", "b c d"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = lambda ids: spark.createDataFrame(
+        [(i, 1, 0) for i in ids], "doc_id long, quality int, toxic int")
+    score = lambda good, ids, unseen: {r["t"]: r["score"] for r in quality._measured(
+        good, quality.weights(docs, quality.good_texts(docs, labels(ids)), 64), 64, 1.0, unseen
+    ).select(quality.F.col("row.text").alias("t"), "score").collect()}
+    unseen = score(quality.good_texts(docs, labels([0, 1])), [0, 1], True)
+    for i, other in ((0, 1), (1, 0)):
+        assert math.isclose(unseen[texts[i]], score(docs, [other], False)[texts[i]], abs_tol=1e-9)
