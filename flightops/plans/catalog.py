@@ -36,9 +36,6 @@ from flightops.streaming import jobs as J
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
-# small enough to fit in minutes on one machine; the operator default is 200 x depth 8
-MODEL_PARAMS = {"maxIter": 5, "maxDepth": 5}
-
 
 def query(name: str) -> Callable[[Query], Query]:
     def register(function: Query) -> Query:
@@ -969,12 +966,12 @@ def _filled(spark, folder) -> DataFrame:
 
 
 def _model(spark, folder) -> PipelineModel:
-    """A small model, fitted once per session and source and kept in the shared folder."""
+    """The model, fitted once per session and source and kept in the shared folder."""
     key = source_key(spark, "model", _sources(folder))
     if key not in _MODELS:
         path = f"{session_folder(spark)}/model-{uuid.uuid4().hex}"
         train = _filled(spark, folder).filter(F.col("split") == "train")
-        save_model(L.train_cascade(train, **MODEL_PARAMS), path)
+        save_model(L.train_cascade(train), path)
         _MODELS[key] = path
     return load_model(_MODELS[key])
 

@@ -43,3 +43,20 @@ def test_every_query_has_sql_or_is_a_model():
 def test_entry(spark):
     first, second = entry(spark).collect(), entry(spark).collect()
     assert len(first) == 20 and first == second
+
+
+def test_model_queries_fit_with_the_defaults(monkeypatch):
+    from flightops.plans import catalog
+
+    seen = []
+    monkeypatch.setattr(catalog.L, "train_cascade", lambda train, **params: seen.append(params))
+    monkeypatch.setattr(catalog, "save_model", lambda model, path: None)
+    monkeypatch.setattr(catalog, "load_model", lambda path: None)
+    monkeypatch.setattr(catalog, "session_folder", lambda spark: "")
+    monkeypatch.setattr(catalog, "source_key", lambda *parts: parts)
+    monkeypatch.setattr(catalog, "_MODELS", {})
+    monkeypatch.setattr(catalog, "_filled", lambda *args: type(
+        "Rows", (), {"filter": lambda self, where: self})())
+    monkeypatch.setattr(catalog.F, "col", lambda name: name)
+    catalog._model(None, "folder")
+    assert seen == [{}]
