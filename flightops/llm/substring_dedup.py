@@ -1,12 +1,9 @@
-"""Substring dedup by relative Lempel-Ziv parsing.
+"""Substring dedup of words by runs of windows named by hash.
 
-The corpus is its own reference: every run of windows (``repeats``) is an entry of a reference
-block, a hash part of the index of all texts, and names the first document that spells it.
-A document is parsed from left to right against all blocks at once: a factor is the longest
-stretch of words whose windows follow each other in the reference, so factors of
-``length`` words or more are duplicate spans. A window that crosses the end of a factor may
-still occur elsewhere; these are the windows whose run spells several texts, and they are
-looked up one by one.
+Every run of windows (``repeats``) is named by a hash, as in op10, and the name gives the first
+document that spells it. Windows whose run spells several texts are looked up one by one. No
+greedy Relative Lempel-Ziv parse is made: ``n_factors`` counts afterwards how often the first
+document changes within the covered words.
 
 Defined results: null text has no words; documents shorter than a window keep all words;
 null doc_ids come after all others; rows with equal ids do not shorten each other.
