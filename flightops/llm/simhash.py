@@ -103,7 +103,8 @@ def _joining_links(prints: np.ndarray) -> list[tuple[int, int]]:
         front, rest = [rest[0]], rest[1:]
         while front and len(rest):
             one = front.pop()
-            near = np.bitwise_count(rest ^ one) <= NEAR
+            # unsigned: for a negative number the bits of its absolute value would be counted
+            near = np.bitwise_count((rest ^ one).view(np.uint64)) <= NEAR
             if near.any():
                 found = rest[near]
                 links += [(int(one), int(x)) for x in found]

@@ -88,6 +88,20 @@ def test_dense_classes(spark, many):
     assert groups(ours, lambda v: v & (1 << 64) - 1) == groups(theirs, lambda v: v)
 
 
+@pytest.mark.parametrize("many", [512, 2])
+def test_highest_bit(spark, many):
+    """A key of several members that differ in bit 63: linked at 2 bits, not at 24."""
+    near = [5, 5 ^ (1 << 63) ^ 1, 5 ^ 2, 5 ^ 4]
+    far = [5 ^ ((1 << 24) - 1) << 40]
+    signed = np.array(near + far, np.uint64).view(np.int64).tolist()
+    frame = spark.createDataFrame([(v,) for v in signed], "print long")
+    found = {(r["a"], r["b"]) for r in simhash.links(frame, many).collect()}
+    assert found and all(((a ^ b) & (1 << 64) - 1).bit_count() <= 3 for a, b in found)
+    rooted = {r["node"]: r["root"] for r in simhash.classes(
+        spark.createDataFrame(sorted(found), "a long, b long")).collect()}
+    assert len({rooted[v] for v in signed[:4]}) == 1 and signed[4] not in rooted
+
+
 def test_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "a long, b long")
     rooted = simhash.classes(edges).collect()
