@@ -7,7 +7,9 @@ import os
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from flightops.plans.catalog import queries
+from flightops.plans.oracle import oracle_sql
 from tests.compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.01"
