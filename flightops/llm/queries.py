@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightops.llm import (
-    decontaminate, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, token_counts, token_files,
+    decontaminate, merkle, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, token_counts, token_files,
     toxicity,
 )
 from flightops.llm.common import documents, fresh_folder
@@ -82,7 +82,15 @@ def op10_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    # every seventh document, by checksum, is found with one more character than it had
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = F.when(tampered, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars"))
+    return merkle.manifest(documents(spark, folder), {"n_chars": found}).drop("path")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_substring_dedup, op2_mix_sources, op3_secret_scan, op4_token_counts,
-             op5_quality_rules, op6_toxicity, op7_simhash, op8_decontaminate, op9_token_files, op10_suffix_dedup)
+             op5_quality_rules, op6_toxicity, op7_simhash, op8_decontaminate, op9_token_files, op10_suffix_dedup,
+             op11_merkle_manifest)
     return {f.__name__: f for f in found}

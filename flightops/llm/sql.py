@@ -150,10 +150,74 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
+_CRC32 = """xor(list_reduce([4294967295::UBIGINT] || list_transform(
+    string_split({text}, ''), lambda x: ascii(x)::UBIGINT), lambda c, b: list_reduce(
+      [xor(c, b)] || range(8)::UBIGINT[], lambda a, i:
+        xor(a >> 1, (a & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT)"""
+
+
+def _leaf(n_chars: str) -> str:
+    fields = ("doc_id", "source", "lang", n_chars, "text")
+    return "sha256(concat(" + ", ".join(
+        f"coalesce(strlen(({f})::VARCHAR) || ':' || ({f})::VARCHAR, '-')" for f in fields) + "))"
+
+
+# a path lists the siblings from the leaf to the root, with the side on which they stand
+OP11 = rf"""
+WITH RECURSIVE leaf AS (
+  SELECT doc_id, coalesce('=' || lang, '-') AS tree, {_leaf('n_chars')} AS h,
+    CASE WHEN {_CRC32.format(text='doc_id::VARCHAR')} % 7 = 0 THEN {_leaf('n_chars + 1')}
+      ELSE {_leaf('n_chars')} END AS given
+  FROM documents),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, h) - 1 AS pos
+  FROM leaf),
+lv AS (
+  SELECT tree, 0 AS lvl, pos, count(*) OVER (PARTITION BY tree) AS n, h FROM placed
+  UNION ALL
+  SELECT tree, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM lv WHERE n > 1 GROUP BY tree, lvl, n, pos // 2),
+sub AS (
+  SELECT tree, h, max(lvl) OVER (PARTITION BY tree) AS height,
+    row_number() OVER (ORDER BY tree) - 1 AS pos
+  FROM lv WHERE n = 1),
+top AS (
+  SELECT 0 AS lvl, pos, count(*) OVER () AS n, h FROM sub
+  UNION ALL
+  SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos))
+  FROM top WHERE n > 1 GROUP BY lvl, n, pos // 2),
+root AS (SELECT h FROM top WHERE n = 1),
+upper AS (
+  SELECT tree, coalesce(list(CASE WHEN s.h IS NULL THEN '=' WHEN (sub.pos >> l.lvl) % 2 = 1
+      THEN '<' || s.h ELSE '>' || s.h END ORDER BY l.lvl) FILTER (l.lvl IS NOT NULL), []) AS path
+  FROM sub LEFT JOIN (SELECT DISTINCT lvl FROM top WHERE n > 1) l ON true
+  LEFT JOIN top s ON s.lvl = l.lvl AND s.pos = xor(sub.pos >> l.lvl, 1)
+  GROUP BY tree),
+lower AS (
+  SELECT p.tree, p.pos, coalesce(list(CASE WHEN s.h IS NULL THEN '=' WHEN (p.pos >> l.lvl) % 2 = 1
+      THEN '<' || s.h ELSE '>' || s.h END ORDER BY l.lvl) FILTER (l.lvl IS NOT NULL), []) AS path
+  FROM placed p LEFT JOIN (SELECT DISTINCT tree, lvl FROM lv WHERE n > 1) l ON l.tree = p.tree
+  LEFT JOIN lv s ON s.tree = p.tree AND s.lvl = l.lvl AND s.pos = xor(p.pos >> l.lvl, 1)
+  GROUP BY p.tree, p.pos),
+joined AS (
+  SELECT doc_id, placed.h AS leaf, sub.h AS subroot, given, lower.path || upper.path AS path
+  FROM placed JOIN lower USING (tree, pos) JOIN upper USING (tree) JOIN sub USING (tree)),
+folded AS (
+  SELECT *, sha256(array_to_string(list_transform(path, lambda s: s[2:]), '')) AS proof_sha256,
+    list_reduce([given] || path, lambda a, s: sha256(
+      CASE WHEN s[1] = '<' THEN s[2:] || a ELSE a || s[2:] END)) AS folded_root
+  FROM joined)
+SELECT doc_id, leaf, subroot, root.h AS root, proof_sha256, folded_root,
+  folded_root = root.h AS verified
+FROM folded, root
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_substring_dedup": OP1,
         "op2_mix_sources": OP2,
         "op3_secret_scan": OP3,
         "op10_suffix_dedup": OP10,
+        "op11_merkle_manifest": OP11,
     }
