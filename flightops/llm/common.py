@@ -57,6 +57,17 @@ def dealt_in_order(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
         f"{name}-dealt")
 
 
+def without_gaps(dealt: DataFrame) -> DataFrame:
+    """Rows as dealt in order, with ``row`` as the position among all of them, without ``part``."""
+    # one row per part
+    counted = dealt.groupBy("part").agg(F.min("row").alias("first"), F.count("*").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counted.select(F.col("part").alias("in_part"), (
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)) - F.col("first")).alias("shift"))
+    joined = dealt.join(starts, F.col("part") == F.col("in_part"))
+    return joined.withColumn("row", F.col("row") + F.col("shift")).drop("part", "in_part", "shift")
+
+
 def placed(rows: DataFrame, group: str, keys: list[str], name: str) -> DataFrame:
     """``place`` (from 0) of each row in its group by ``keys``, and the ``total`` of the group.
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightops.llm import (
-    decontaminate, merkle, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, token_counts, token_files,
+    conversations, decontaminate, merkle, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, token_counts, token_files,
     toxicity,
 )
 from flightops.llm.common import documents, fresh_folder
@@ -89,8 +89,13 @@ def op11_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.manifest(documents(spark, folder), {"n_chars": found}).drop("path")
 
 
+def op12_repair_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/conversations.parquet")
+    return conversations.repair_digests(rows, conversations.damaged(rows))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_substring_dedup, op2_mix_sources, op3_secret_scan, op4_token_counts,
              op5_quality_rules, op6_toxicity, op7_simhash, op8_decontaminate, op9_token_files, op10_suffix_dedup,
-             op11_merkle_manifest)
+             op11_merkle_manifest, op12_repair_conversations)
     return {f.__name__: f for f in found}
