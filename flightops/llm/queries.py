@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightops.llm import (
-    conversations, decontaminate, merkle, mixing, quality, secrets, simhash, substring_dedup, suffix_dedup, token_counts, token_files,
+    conversations, decontaminate, merkle, mixing, pii, quality, secrets, simhash, substring_dedup, suffix_dedup, token_counts, token_files,
     toxicity,
 )
 from flightops.llm.common import documents, fresh_folder
@@ -94,8 +94,17 @@ def op12_repair_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return conversations.repair_digests(rows, conversations.damaged(rows))
 
 
+def op13_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.personal_data(documents(spark, folder))
+    count = lambda rank: F.size(F.filter("base", lambda s: s["rank"] == rank)).cast("long")
+    return found.select(
+        "doc_id", *[count(pii.KINDS.index(k)).alias(f"n_{k}") for k in ("email", "ip", "card", "phone")],
+        F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"),
+        pii.listed(F.col("spans")).alias("spans"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_substring_dedup, op2_mix_sources, op3_secret_scan, op4_token_counts,
              op5_quality_rules, op6_toxicity, op7_simhash, op8_decontaminate, op9_token_files, op10_suffix_dedup,
-             op11_merkle_manifest, op12_repair_conversations)
+             op11_merkle_manifest, op12_repair_conversations, op13_personal_data)
     return {f.__name__: f for f in found}

@@ -19,7 +19,7 @@ NAMES = ["quality rules", "simhash near-dedup", "benchmark decontamination", "so
 
 def test_registered():
     names = [n for n in queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 13))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in queries() and set(llm_sql()) <= set(oracle_sql()) & set(queries())
     assert [n for n, _ in corpus_pipeline.STAGES] == NAMES
 
