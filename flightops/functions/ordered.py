@@ -1,4 +1,4 @@
-"""Running totals and exact quantiles over many distinct values."""
+"""Positions, running totals and exact quantiles over many rows or distinct values."""
 
 from __future__ import annotations
 
@@ -11,6 +11,30 @@ from flightops.session import staged
 _STEP = 4096
 
 
+def with_position(
+    df: DataFrame, keys: list[str], name: str, parts: int | None = None
+) -> DataFrame:
+    """Add the position of each row in the order of ``keys``, from 0.
+
+    No row is numbered in one task: the rows are range-partitioned by splitters that Spark
+    samples, sorted and stored with their place in the range, and the counts of the ranges
+    before it (one row per range) are added. ``keys`` should be unique; rows of equal keys
+    stay in one range.
+    """
+    spark = df.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = staged(spark, "ordered", lambda: df.repartitionByRange(
+        parts, *keys).sortWithinPartitions(*keys).withColumns({
+            "_part": F.spark_partition_id(), "_row": F.monotonically_increasing_id()}))
+    counts = stored.groupBy("_part").agg(
+        F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = counts.select(
+        "_part", (F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")).alias("_shift"))
+    return stored.join(shifts, "_part").withColumn(
+        name, F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")
+
+
 def running_totals(df: DataFrame, by: str, sums: list[str]) -> DataFrame:
     """Add ``<name>_before``: the total of each column over rows with a smaller ``by``.
 

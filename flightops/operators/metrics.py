@@ -46,11 +46,8 @@ def _cancelled() -> Column:
     return _share(F.col("Cancelled").cast("string").isin("YES", "1"), 4)
 
 
-def route_stats(
-    df: DataFrame, min_flights: int = LIMITS.min_route_flights, approx: bool = False
-) -> DataFrame:
-    """Delay, taxi and air-time statistics by route; ``approx`` for approximate P90."""
-    return df.filter(F.col("Route").isNotNull()).groupBy("Route").agg(
+def _route_aggregates(approx: bool) -> list[Column]:
+    return [
         _mean("ArrDelay").alias("AvgArrDelay"),
         _std("ArrDelay").alias("StdArrDelay"),
         _mean("DepDelay").alias("AvgDepDelay"),
@@ -69,9 +66,32 @@ def route_stats(
         _percentile("TaxiOut", 0.9, approx).alias("P90TaxiOut"),
         _percentile("TaxiIn", 0.9, approx).alias("P90TaxiIn"),
         _cancelled().alias("CancelRate"),
+    ]
+
+
+def route_stats(
+    df: DataFrame, min_flights: int = LIMITS.min_route_flights, approx: bool = False
+) -> DataFrame:
+    """Delay, taxi and air-time statistics by route; ``approx`` for approximate P90."""
+    return df.filter(F.col("Route").isNotNull()).groupBy("Route").agg(
+        *_route_aggregates(approx)
     ).filter(F.col("FlightCount") >= min_flights)
 
 
+def route_stats_with_propagation(
+    legs: DataFrame, min_flights: int = LIMITS.min_route_flights, approx: bool = False
+) -> DataFrame:
+    """Statistics and propagation by route, side by side.
+
+    The conditions of the propagation are inside its aggregates, so both families share one
+    exchange of the walked legs, and no join aligns them.
+    """
+    both = legs.filter(F.col("Route").isNotNull()).groupBy("Route").agg(
+        *_route_aggregates(approx), *_propagation_aggregates()
+    ).filter(F.col("FlightCount") >= min_flights)
+    return _propagation_rates(both)
+
+
 def carrier_stats(df: DataFrame) -> DataFrame:
     return df.filter(F.col("UniqueCarrier").isNotNull()).groupBy("UniqueCarrier").agg(
         _mean("ArrDelay").alias("AvgArrDelay"),
@@ -125,24 +145,32 @@ def with_carrier_name(df: DataFrame, carriers: DataFrame, key: str = "UniqueCarr
 
 # -- propagation ---------------------------------------------------------------
 
+def _propagation_aggregates() -> list[Column]:
+    incoming = F.count_if(F.col("PrevFlightDelay") > LIMITS.late)
+    return [
+        F.sum("DelayPropagated").alias("_passed"),
+        F.when(incoming > 0, incoming).alias("FlightsWithIncomingDelay"),
+        F.count(F.lit(1)).alias("TotalFlights"),
+    ]
+
+
+def _propagation_rates(df: DataFrame) -> DataFrame:
+    return df.withColumns({
+        "PropagationRate": round_to(ratio(F.col("_passed"), F.col("TotalFlights") + 1), 3),
+        "ConditionalRate": round_to(
+            ratio(F.col("_passed"), F.col("FlightsWithIncomingDelay")), 3),
+    }).drop("_passed")
+
+
 def propagation(df: DataFrame, key: str, min_incoming: int | None = None) -> DataFrame:
     """Delay passed on by group: per flight, and per flight with an incoming delay.
 
     A group without any incoming delay has a null count, not 0.
     """
-    incoming = F.count_if(F.col("PrevFlightDelay") > LIMITS.late)
-    stats = df.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        F.sum("DelayPropagated").alias("_passed"),
-        F.when(incoming > 0, incoming).alias("FlightsWithIncomingDelay"),
-        F.count(F.lit(1)).alias("TotalFlights"),
-    ).select(
-        key,
-        round_to(ratio(F.col("_passed"), F.col("TotalFlights") + 1), 3).alias("PropagationRate"),
-        "FlightsWithIncomingDelay",
-        "TotalFlights",
-        round_to(ratio(F.col("_passed"), F.col("FlightsWithIncomingDelay")), 3)
-        .alias("ConditionalRate"),
-    )
+    stats = _propagation_rates(df.filter(F.col(key).isNotNull()).groupBy(key).agg(
+        *_propagation_aggregates()))
+    stats = stats.select(key, "PropagationRate", "FlightsWithIncomingDelay", "TotalFlights",
+                         "ConditionalRate")
     if min_incoming is None:
         return stats
     return stats.filter(F.col("FlightsWithIncomingDelay") >= min_incoming)

@@ -2,10 +2,11 @@
 
 Legs of one aircraft are ordered by date, scheduled departure and ``FlightId``.
 A window over the tail number would put all legs of an aircraft into one task,
-and placeholder tail numbers can own a large share of a table. So tails with
-too many legs are walked in runs of one scheduled minute,
-and a small table of run edges carries the neighbour across runs. Other tails
-take the plain window. Either way the result is the same.
+and placeholder tail numbers can own a large share of a table. A sketch of the
+most frequent tail numbers, a scan of that one column, names the tails that may
+hold too many legs. Without any the plan is a plain window. Otherwise these tails
+are walked in runs of one scheduled minute, and a small table of run edges carries
+the neighbour across runs. Either way the result is the same.
 """
 
 from __future__ import annotations
@@ -20,32 +21,41 @@ from flightops.schema import LIMITS
 
 # A tail with more legs is walked in runs; this changes the plan only.
 HOT_ROWS = 200_000
+TRACKED = 1 << 14  # tail numbers in the sketch
+LISTED = 1 << 10  # tail numbers that a plan names at most
 
 _WALK = ("_day", "_clock", "FlightId")
 _KEYS = ("_tail", "_run", "_day", "_clock")
 
 
-def hot_tails(df: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Tail numbers with too many legs for one task."""
-    return (
-        df.filter(F.col("TailNum").isNotNull())
-        .groupBy("TailNum").agg(F.count(F.lit(1)).alias("_legs"))
-        .filter(F.col("_legs") > hot_rows)
-        .select("TailNum", F.lit(True).alias("_hot"))
-    )
-
+def heavy_tails(df: DataFrame, hot_rows: int = HOT_ROWS) -> list[str] | None:
+    """Tail numbers that may hold more than ``hot_rows`` legs; None if they are too many to name.
 
-def _with_keys(df: DataFrame, hot: DataFrame, how: str) -> DataFrame:
+    Runs a job over ``TailNum``. The sketch counts too high, never too low, and a tail that it
+    does not track has at most 3.5 / ``TRACKED`` of the rows, so none that is too large is missed.
+    """
+    if hot_rows <= 0:
+        return None
+    seen = df.agg(
+        F.count(F.lit(1)).alias("legs"),
+        F.expr(f"approx_top_k(TailNum, {LISTED}, {TRACKED})").alias("top"),
+    ).first()
+    heavy = [t["item"] for t in seen["top"] if t["item"] is not None and t["count"] > hot_rows]
+    if seen["legs"] * 3.5 / TRACKED > hot_rows or len(heavy) >= LISTED - 1:
+        return None
+    return heavy
+
+
+def _with_keys(df: DataFrame, heavy: list[str] | None) -> DataFrame:
     day = F.coalesce(F.datediff("FlightDate", F.lit("2000-01-01").cast("date")), F.lit(9_999_999))
     clock = F.coalesce(F.col("CRSDepTime"), F.lit(9999))
-    return df.join(hot, "TailNum", how).withColumns({
+    split = F.lit(True) if heavy is None else F.col("TailNum").isin(heavy)
+    return df.withColumns({
         # legs without a tail number have no neighbours: each is its own aircraft
         "_tail": F.coalesce("TailNum", F.concat(F.lit("#"), F.col("FlightId").cast("string"))),
         "_day": day,
         "_clock": clock,
-    }).withColumn(
-        "_run", F.when(F.col("_hot"), F.col("_day").cast("long") * 10_000 + F.col("_clock"))
-    ).drop("_hot")
+    }).withColumn("_run", F.when(split, F.col("_day").cast("long") * 10_000 + F.col("_clock")))
 
 
 def walk_rotation(
@@ -58,12 +68,14 @@ def walk_rotation(
 ) -> DataFrame:
     """Add struct ``_prev`` / ``_next`` of neighbour columns and the leg's place in its day.
 
-    ``within`` names extra partition columns, such as the split. One exchange and
-    one sort serve all three; only hot tails add an aggregate of their run edges.
+    ``within`` names extra partition columns, such as the split. One exchange and one sort serve
+    all three; only heavy tails add an aggregate of their run edges. Looking for heavy tails runs
+    a job.
     """
-    hot = hot_tails(df, hot_rows)
-    keyed = _with_keys(df, hot, "left")
-    group = [*within, "_tail", "_run"]
+    heavy = heavy_tails(df, hot_rows)
+    keyed = _with_keys(df, heavy)
+    split = heavy is None or bool(heavy)
+    group = [*within, "_tail", "_run"] if split else [*within, "_tail"]
     walk = F.struct(*_WALK)
     window = Window.partitionBy(*group).orderBy(*_WALK)
     day_window = Window.partitionBy(*group, "_day").orderBy("_clock", "FlightId")
@@ -87,12 +99,15 @@ def walk_rotation(
         )
         far[position] = F.sum("_count").over(earlier)
 
+    walked = keyed.withColumns(near)
+    if not split:
+        return walked.drop(*_KEYS)
     edges = (
-        _with_keys(df, hot, "inner")
+        keyed.filter(F.col("_run").isNotNull())
         .groupBy(*group, "_day").agg(*edge)
         .select(*group, *[c.alias(f"_far{n}") for n, c in far.items()])
     )
-    walked = keyed.withColumns(near).join(edges, group, "left")
+    walked = walked.join(edges, group, "left")
     for name in near:
         if name == position:
             merged = (F.col(name) + F.coalesce(F.col(f"_far{name}"), F.lit(0))).cast("int")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightops.functions import one_row, ratio, round_to
-from flightops.session import staged
+from flightops.functions.ordered import with_position
 
 _EPOCH = "2000-01-01"
 
@@ -51,35 +51,15 @@ def label_distribution(df: DataFrame) -> DataFrame:
     )
 
 
-def with_time_index(df: DataFrame, name: str = "TimeIndex") -> DataFrame:
+def with_time_index(
+    df: DataFrame, name: str = "TimeIndex", parts: int | None = None
+) -> DataFrame:
     """Position of each row in date, clock, id order, from 0.
 
-    No global sort: rows are numbered inside one scheduled minute of one date, and
-    two small tables hold how many rows come before that date and that minute.
+    The rows are stored in this order in ``parts`` ranges, so this runs a job. The splitters of
+    the ranges are sampled from all three columns: a minute with many legs is cut between ids.
     """
-    earlier = (Window.unboundedPreceding, -1)
-    minutes = staged(
-        df.sparkSession, "minutes",
-        lambda: df.groupBy("FlightDate", "CRSDepTime").agg(F.count(F.lit(1)).alias("_n")),
-    )
-    # one row per calendar day, so this unpartitioned window stays small
-    days = minutes.groupBy("FlightDate").agg(F.sum("_n").alias("_n")).select(
-        "FlightDate",
-        F.coalesce(F.sum("_n").over(Window.orderBy("FlightDate").rowsBetween(*earlier)), F.lit(0))
-        .alias("_days"),
-    )
-    in_day = Window.partitionBy("FlightDate").orderBy("CRSDepTime").rowsBetween(*earlier)
-    offsets = minutes.join(days, "FlightDate").select(
-        "FlightDate", "CRSDepTime",
-        (F.col("_days") + F.coalesce(F.sum("_n").over(in_day), F.lit(0))).alias("_before"),
-    )
-    in_minute = Window.partitionBy("FlightDate", "CRSDepTime").orderBy("FlightId")
-    return (
-        df.withColumn("_row", F.row_number().over(in_minute))
-        .join(offsets, ["FlightDate", "CRSDepTime"])
-        .withColumn(name, F.col("_before") + F.col("_row") - 1)
-        .drop("_before", "_row")
-    )
+    return with_position(df, ["FlightDate", "CRSDepTime", "FlightId"], name, parts)
 
 
 def time_series_folds(df: DataFrame, k: int = 5, index: str = "TimeIndex") -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +28,7 @@ from flightops.operators import training as L
 from flightops.plans import descriptive as D
 from flightops.plans import predictive as Q
 from flightops.schema import FEATURES, HISTORY, LIMITS
-from flightops.session import session_folder, source_key, staged
+from flightops.session import remembered, session_folder, source_key, staged
 from flightops.sources import requests as I
 from flightops.sources.sinks import load_model, save_model
 from flightops.sources.tables import table_carriers, table_flights
@@ -54,6 +55,15 @@ def _sources(folder: str) -> tuple[str, ...]:
     return f"{folder}/lineitem.parquet", f"{folder}/supplier.parquet"
 
 
+def _once(build):
+    """``build(spark, folder)``, planned once per session and state of the tables."""
+    @wraps(build)
+    def found(spark, folder):
+        sources = (*_sources(folder), f"{folder}/nation.parquet")
+        return remembered(spark, build.__name__, sources, lambda: build(spark, folder))
+    return found
+
+
 def _measured(spark, folder) -> DataFrame:
     return D.measured(table_flights(spark, folder))
 
@@ -62,21 +72,25 @@ def _rotated(spark, folder, **options) -> DataFrame:
     return D.rotated(table_flights(spark, folder), **options)
 
 
+@_once
 def _walked(spark, folder) -> DataFrame:
     """Rotated legs, walked once per session."""
     return D.rotated_legs(table_flights(spark, folder), sources=_sources(folder))
 
 
+@_once
 def _routes(spark, folder) -> DataFrame:
     return D.route_table(_measured(spark, folder), sources=_sources(folder))
 
 
+@_once
 def _carriers(spark, folder) -> DataFrame:
     return D.carrier_table(
         _measured(spark, folder), table_carriers(spark, folder), sources=_sources(folder)
     )
 
 
+@_once
 def _taxi(spark, folder) -> tuple[DataFrame, DataFrame]:
     return D.taxi_tables(_measured(spark, folder), sources=_sources(folder))
 
@@ -85,6 +99,7 @@ def _cascade(spark, folder) -> DataFrame:
     return C.clean_cascade(table_flights(spark, folder))
 
 
+@_once
 def _legs(spark, folder) -> DataFrame:
     return Q.labelled_legs(table_flights(spark, folder), sources=_sources(folder))
 
@@ -97,6 +112,7 @@ def _train(spark, folder) -> DataFrame:
     return _legs(spark, folder).filter(F.col("split") == "train")
 
 
+@_once
 def _prepared(spark, folder) -> Q.Prepared:
     return Q.prepare(table_flights(spark, folder), sources=_sources(folder))
 
@@ -288,7 +304,7 @@ def _(spark, folder):
 
 @query("win01_prev_leg_split_runs")
 def _(spark, folder):
-    # every tail walked in runs of one hour, as for a tail that fills a table
+    # every tail walked in runs of one minute, as for a tail that fills a table
     return R.with_prev_leg(_measured(spark, folder), hot_rows=0).select(
         "FlightId", "PrevArrTime", "PrevFlightDate", "PrevFlightDelay"
     )
@@ -343,6 +359,12 @@ def _(spark, folder):
     )
 
 
+@query("win10_time_index_split_minutes")
+def _(spark, folder):
+    # more ranges than minutes of a day, so that many a minute is cut
+    return P.with_time_index(_train(spark, folder), parts=256).select("FlightId", "TimeIndex")
+
+
 @query("win10_time_index")
 def _(spark, folder):
     return P.with_time_index(_train(spark, folder)).select("FlightId", "TimeIndex")
@@ -612,10 +634,9 @@ def _(spark, folder):
 
 @query("jon02_03_route_and_propagation")
 def _(spark, folder):
-    # the aggregates that need no join of their own, side by side
-    legs = _rotated(spark, folder)
-    return M.route_stats(legs).select("Route", "OnTimeRate", "P90TaxiOut", "CancelRate").join(
-        M.propagation(legs, "Route"), "Route", "left"
+    return M.route_stats_with_propagation(_rotated(spark, folder)).select(
+        "Route", "OnTimeRate", "P90TaxiOut", "CancelRate", "PropagationRate",
+        "FlightsWithIncomingDelay", "TotalFlights", "ConditionalRate",
     )
 
 

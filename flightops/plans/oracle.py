@@ -532,6 +532,7 @@ _ORACLE = {
     "win08_incoming_delay": """
         SELECT FlightId, inc AS IncomingDelay, inc_dep AS IncomingDepDelay FROM feat""",
     "win09_position_in_rotation": "SELECT FlightId, place AS PositionInRotation FROM feat",
+    "win10_time_index_split_minutes": "SELECT FlightId, idx AS TimeIndex FROM indexed",
     "win10_time_index": "SELECT FlightId, idx AS TimeIndex FROM indexed",
     "agg01_route_stats": "SELECT * FROM rstats",
     "agg02_on_time_rate_by_route": """

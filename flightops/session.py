@@ -60,7 +60,7 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-_STAGED: dict[tuple, tuple[DataFrame, str]] = {}
+_STAGED: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 _FOLDERS: set[str] = set()
 
 _EXPANSION = 4  # rows in a shuffle against compressed columns
@@ -84,8 +84,9 @@ def drop_staged(spark: SparkSession) -> None:
     fs.delete(folder, True)
     _FOLDERS.discard(session_folder(spark))
     app = spark.sparkContext.applicationId
-    for key in [k for k in _STAGED if k[0] == app]:
-        del _STAGED[key]
+    for kept in (_STAGED, _REMEMBERED):
+        for key in [k for k in kept if k[0] == app]:
+            del kept[key]
 
 
 def _filesystem(spark: SparkSession, path: str):
@@ -95,18 +96,25 @@ def _filesystem(spark: SparkSession, path: str):
 
 
 def _source_state(spark: SparkSession, paths: tuple[str, ...]) -> tuple:
-    """Number of files, bytes and last change of each path."""
+    """Length and last change of each file or folder: one call per path, no listing.
+
+    Writers replace, add and remove files, which changes the time of their folder.
+    """
     states = []
     for path in paths:
         fs, target = _filesystem(spark, path)
-        content = fs.getContentSummary(target)
-        changed = fs.getFileStatus(target).getModificationTime()
-        states.append((content.getFileCount(), content.getLength(), changed))
+        status = fs.getFileStatus(target)
+        states.append((path, status.getLen(), status.getModificationTime()))
     return tuple(states)
 
 
 def stored_bytes(spark: SparkSession, paths: tuple[str, ...]) -> int:
-    return sum(length for _, length, _ in _source_state(spark, paths))
+    """Bytes of all files under the paths, which are listed for it."""
+    found = 0
+    for path in paths:
+        fs, target = _filesystem(spark, path)
+        found += fs.getContentSummary(target).getLength()
+    return found
 
 
 def size_shuffles(spark: SparkSession, sources: tuple[str, ...]) -> None:
@@ -122,6 +130,21 @@ def source_key(spark: SparkSession, name: str, sources: tuple[str, ...]) -> tupl
     return (spark.sparkContext.applicationId, name, sources, _source_state(spark, sources))
 
 
+_REMEMBERED: dict[tuple, object] = {}
+
+
+def remembered(spark: SparkSession, name: str, sources: tuple[str, ...], build: Callable):
+    """What ``build`` returned for these sources in their present state, in this session.
+
+    ``name`` must say all that the result depends on besides the sources. A hit plans and lists
+    nothing.
+    """
+    key = source_key(spark, name, sources)
+    if key not in _REMEMBERED:
+        _REMEMBERED[key] = build()
+    return _REMEMBERED[key]
+
+
 def staged(
     spark: SparkSession, name: str, build: Callable[[], DataFrame], sources: tuple[str, ...] = ()
 ) -> DataFrame:
@@ -130,21 +153,32 @@ def staged(
     Used where a frame feeds several jobs: its work runs once, later reads prune
     columns and push filters, the planner knows the size, and a lost executor
     costs a re-read instead of the whole lineage. A frame with the same plan over
-    the same state of ``sources`` and of its input files is read from the table
+    the same state of ``sources`` and of the folders it reads is read from the table
     that the session has; any other frame is written anew.
     """
     df = build()
     key = (spark.sparkContext.applicationId, name, df.semanticHash(),
            _source_state(spark, tuple(sorted({*sources, *_input_folders(spark, df)}))))
     if key in _STAGED and df.sameSemantics(_STAGED[key][0]):
-        return spark.read.parquet(_STAGED[key][1])
+        return _STAGED[key][1]
     path = f"{session_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _STAGED[key] = df, path
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    _STAGED[key] = df, table
+    return table
 
 
 def _input_folders(spark: SparkSession, df: DataFrame) -> set[str]:
-    """Folders of the files that the plan reads; staged tables do not change."""
+    """Paths that the plan reads, as they were given; staged tables do not change."""
     own = session_folder(spark).removeprefix("file://")
-    return {file.rpartition("/")[0] for file in df.inputFiles() if own not in file}
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = set()
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() != "LogicalRelation":
+            continue
+        relation = leaf.relation()
+        if relation.getClass().getSimpleName() == "HadoopFsRelation":
+            paths = relation.location().rootPaths()
+            found |= {paths.apply(n).toString() for n in range(paths.size())}
+    return {path for path in found if own not in path}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightops.session import staged, stored_bytes
+from flightops.session import remembered, size_shuffles, staged, stored_bytes
 
 SMALL_BYTES = 1 << 30
 
@@ -83,12 +83,14 @@ def table_flights(spark: SparkSession, folder: str) -> DataFrame:
     lines, suppliers = f"{folder}/lineitem.parquet", f"{folder}/supplier.parquet"
 
     def derive() -> DataFrame:
+        size_shuffles(spark, (lines,))
         flights = flights_from_lines(spark.read.parquet(lines), spark.read.parquet(suppliers))
         # a small table may be one file, which would keep all later scans on one core
         small = stored_bytes(spark, (lines,)) <= SMALL_BYTES
         return flights.repartition(spark.sparkContext.defaultParallelism) if small else flights
 
-    return staged(spark, "flights", derive, (lines, suppliers))
+    sources = (lines, suppliers)
+    return remembered(spark, "flights", sources, lambda: staged(spark, "flights", derive, sources))
 
 
 def table_carriers(spark: SparkSession, folder: str) -> DataFrame:

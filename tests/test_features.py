@@ -86,12 +86,17 @@ def test_temporal_split_uses_the_interpolated_day(spark):
     assert by["train"].b < by["test"].a
 
 
-def test_time_index_matches_sort(spark):
+@pytest.mark.parametrize("parts, minutes", [(None, [5, 600, 601, 2300]), (64, [600])])
+def test_time_index_matches_sort(spark, parts, minutes):
     rng = random.Random(3)
-    data = [(f"f{i:03d}", day(rng.randint(1, 5)), rng.choice([5, 600, 601, 2300])) for i in range(200)]
+    data = [(f"f{i:03d}", day(rng.randint(1, 5) if parts is None else 1), rng.choice(minutes))
+            for i in range(200)]
     df = spark.createDataFrame(data, "FlightId string, FlightDate date, CRSDepTime int")
     want = {r[0]: i for i, r in enumerate(sorted(data, key=lambda r: (r[1], r[2], r[0])))}
-    assert dict(rows(P.with_time_index(df), "FlightId", "TimeIndex")) == want
+    got = P.with_time_index(df, parts=parts)
+    assert dict(rows(got, "FlightId", "TimeIndex")) == want
+    if parts:  # all legs are of one minute, which is cut into ranges
+        assert len(got.inputFiles()) > 32
 
 
 @pytest.mark.parametrize("n", [4, 13, 60])

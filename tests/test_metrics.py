@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from flightops.operators import metrics as M
 from flightops.operators import scores as S
+from flightops.plans import descriptive
+from flightops.sources.tables import table_flights
 from tests.conftest import day, rows
 
 SCHEMA = ("Route string, UniqueCarrier string, Origin string, TailNum string, FlightDate date, "
@@ -155,3 +157,12 @@ def test_chart_frame(spark):
                                "k string, v double, w double")
     got = S.chart_frame(df, "v", "k", 2, ranked_by="w", scale=100.0).collect()
     assert [tuple(r) for r in got] == [("a", 100.0), ("b", 300.0)]
+
+
+def test_statistics_and_propagation_share_one_aggregate(spark):
+    legs = descriptive.rotated(table_flights(spark, "/root/testdata/sf0.001"))
+    both = M.route_stats_with_propagation(legs, 30)
+    plan = both._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 0 and plan.count("Aggregate") == 1
+    apart = M.route_stats(legs, 30).join(M.propagation(legs, "Route"), "Route", "left")
+    assert rows(both.select(apart.columns)) == rows(apart) and both.count() > 0

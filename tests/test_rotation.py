@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from flightops.operators import rotation as R
+from flightops.operators.clean import clean_ops
+from flightops.sources.tables import table_flights
 from tests.conftest import day, rows
 
 SCHEMA = ("FlightId string, TailNum string, FlightDate date, FlightDate_Numeric int, "
@@ -110,7 +112,31 @@ def test_walk_matches_brute_force(spark, hot_rows, within):
     assert got == brute(data, 8 if within else None)
 
 
-def test_hot_tails_are_those_with_many_legs(spark):
-    df = legs(spark, [leg(f"{t}{i}", t, 1, i, i) for t, n in (("A", 5), ("B", 2)) for i in range(n)])
-    assert rows(R.hot_tails(df, 2), "TailNum") == [("A",)]
-    assert rows(R.hot_tails(df, 1), "TailNum") == [("A",), ("B",)]
+def test_heavy_tails_are_those_with_many_legs(spark):
+    df = legs(spark, [leg(f"{t}{i}", t, 1, i, i) for t, n in (("A", 5), ("B", 2), (None, 9))
+                      for i in range(n)])
+    assert R.heavy_tails(df, 2) == ["A"]
+    assert sorted(R.heavy_tails(df, 1)) == ["A", "B"]
+    assert R.heavy_tails(df, 5) == [] == R.heavy_tails(df.limit(0), 5)
+    assert R.heavy_tails(df, 0) is None  # every tail is walked in runs
+
+
+def test_more_heavy_tails_than_a_plan_names(spark, monkeypatch):
+    monkeypatch.setattr(R, "LISTED", 4)
+    df = legs(spark, [leg(f"{t}{i}", f"T{t}", 1, i, i) for t in range(6) for i in range(3)])
+    assert R.heavy_tails(df, 1) is None and R.heavy_tails(df, 3) == []
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("hot_rows, scans", [(10**6, 1), (300, 2), (0, 2)])
+def test_scans_of_a_walk(spark, hot_rows, scans):
+    """One scan, one exchange and no join without heavy tails; one more scan for run edges."""
+    flights = table_flights(spark, "/root/testdata/sf0.001")
+    walked = R.with_turnaround(R.with_prev_leg(clean_ops(flights), hot_rows=hot_rows))
+    plan = plan_of(walked)
+    assert plan.count("parquet") == scans and plan.count("Join") == scans - 1
+    if scans == 1:
+        assert walked._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1

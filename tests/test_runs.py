@@ -11,7 +11,7 @@ from flightops.operators import training as L
 from flightops.operators.evaluate import SCORE
 from flightops.plans import descriptive, predictive
 from flightops.schema import FEATURES
-from flightops.session import drop_staged, staged
+from flightops.session import drop_staged, remembered, staged
 from flightops.sources import parse_json_requests, sinks, split_bad_requests
 from flightops.sources.tables import table_carriers, table_flights
 from tests.conftest import rows
@@ -104,12 +104,28 @@ def test_staged_tables_follow_their_sources(spark, tmp_path):
     spark.range(3).write.parquet(source)
     first = table()
     assert rows(first) == [(1,), (2,), (3,)]
-    assert table().inputFiles() == first.inputFiles()  # the same table again
+    assert table() is first  # the same table again, without reading its folder
     assert rows(table(5)) == [(5,), (6,), (7,)]  # another plan over the same files
     spark.range(5).write.mode("append").parquet(source)
     assert table().count() == 8
 
 
+def test_remembered_results_follow_their_sources(spark, tmp_path, monkeypatch):
+    source, built = f"{tmp_path}/in", []
+
+    def build():
+        built.append(spark.read.parquet(source))
+        return built[-1]
+
+    spark.range(3).write.parquet(source)
+    first = remembered(spark, "r", (source,), build)
+    monkeypatch.setattr(type(spark), "read", None)  # a hit plans and lists nothing
+    assert remembered(spark, "r", (source,), build) is first and len(built) == 1
+    monkeypatch.undo()
+    spark.range(5).write.mode("append").parquet(source)
+    assert remembered(spark, "r", (source,), build).count() == 8 and len(built) == 2
+
+
 def test_staged_tables_follow_their_plan(spark):
     folder = "/root/testdata/sf0.001"
     flights = table_flights(spark, folder)
