@@ -67,10 +67,10 @@ def incoming_features(df: DataFrame) -> DataFrame:
     return df.withColumn("HasIncomingDelay", as_flag(F.col("IncomingDelay") > LIMITS.late))
 
 
-def turnaround_features(df: DataFrame) -> DataFrame:
-    """Buffer in minutes and three flags for a short one."""
+def turnaround_features(df: DataFrame, minutes: Column | None = None) -> DataFrame:
+    """Buffer in minutes (from the hours unless given) and three flags for a short one."""
     hours = F.col("TurnaroundTime")
-    minutes = hours * 60
+    minutes = hours * 60 if minutes is None else minutes
     return df.withColumns({
         "TurnaroundMinutes": minutes,
         "TightTurnaround": as_flag(hours < 1.0),

@@ -956,10 +956,14 @@ def _(spark, folder):
     return _six(V.features_from_raw(parsed, stats), *HISTORY).select("RequestId", *FEATURES)
 
 
+def _stream_folder(spark) -> str:
+    return f"{session_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
 @query("srv04_feature_stream")
 def _(spark, folder):
     # all requests written as files, then read as a stream until none is left
-    base = f"{session_folder(spark)}/stream-{uuid.uuid4().hex}"
+    base = _stream_folder(spark)
     _raw_requests(spark, folder).write.json(f"{base}/in")
     stream = J.request_stream(spark, f"{base}/in", max_files=1000)
     features = J.feature_stream(stream, _prepared(spark, folder).history)
@@ -969,6 +973,23 @@ def _(spark, folder):
     return _six(spark.read.parquet(f"{base}/out"), *HISTORY)
 
 
+@query("srv05_incoming_delay_stream")
+def _(spark, folder):
+    # a month of legs arrives after the other, each is streamed when it is there; the stream goes
+    # on from its state each time. The first month is then delivered again, too late
+    base = _stream_folder(spark)
+    legs = _cascade(spark, folder).select(
+        "FlightId", "TailNum", "FlightDate", "CRSDepTime", "ArrDelay", "DepDelay")
+    month = F.floor((F.dayofyear("FlightDate") - 1) / 30)
+    for part in (0, 1, 2, 3, 0):
+        legs.filter(month == part).write.mode("append").parquet(f"{base}/in")
+        J.incoming_delay_stream(
+            J.leg_stream(spark, f"{base}/in", max_files=1000), f"{base}/out", f"{base}/checkpoint",
+            once=True).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(
+        "FlightId", "IncomingDelay", "IncomingDepDelay", "Late")
+
+
 @query("srv02_fixed_tiers")
 def _(spark, folder):
     return T.risk_tiers(_scored(spark, folder), mode="fixed").select(
@@ -1032,7 +1053,80 @@ def _(spark, folder):
     )
 
 
+def _broken_requests(spark, folder) -> DataFrame:
+    """The raw requests; those for the unknown airport have lost their destination."""
+    return _raw_requests(spark, folder).withColumn("value", F.when(
+        F.col("value").contains('"zzz"'), F.regexp_replace("value", '"dest"', '"to"')
+    ).otherwise(F.col("value")))
+
+
 @query("srv03_score_batch")
 def _(spark, folder):
-    good, _ = I.split_bad_requests(I.parse_json_requests(_raw_requests(spark, folder)))
-    return V.score_requests(good, _model(spark, folder), _prepared(spark, folder).history)
+    good, _ = I.split_bad_requests(I.parse_json_requests(_broken_requests(spark, folder)))
+    responses = V.score_batch(good, _model(spark, folder), _prepared(spark, folder).history)
+    return V.read_responses(responses)
+
+
+def _streamed(spark, folder) -> DataFrame:
+    """All requests, answered as a stream: responses and rejects with their kind."""
+    def build() -> DataFrame:
+        base = _stream_folder(spark)
+        _broken_requests(spark, folder).write.json(f"{base}/in")
+        started = J.score_stream(
+            J.request_stream(spark, f"{base}/in", max_files=1000), _model(spark, folder),
+            _prepared(spark, folder).history, f"{base}/out", f"{base}/progress", once=True)
+        for running in started:
+            running.awaitTermination()
+        return spark.read.schema(
+            "RequestId string, response string, value string, _error string, kind string"
+        ).json(f"{base}/out")
+
+    return remembered(spark, "streamed-responses", _sources(folder), build)
+
+
+@query("srv04_score_stream")
+def _(spark, folder):
+    return V.read_responses(_streamed(spark, folder).filter("kind = 'responses'"))
+
+
+@query("snk06_responses")
+def _(spark, folder):
+    # what a response must hold whatever the model says; rejects have their reason
+    streamed = _streamed(spark, folder)
+    read = V.read_responses(streamed.filter("kind = 'responses'"))
+    p = F.col("CascadeProbability")
+    said = T.risk_tiers(read.select("RequestId", p.alias(E.SCORE)), mode="fixed")
+    said = said.select(F.col("RequestId").alias("id"), *[F.col(c).alias(f"want{c}") for c in (
+        "CascadePrediction", "RiskTier", "RecommendedAction")])
+    fits = [F.col(c) == F.col(f"want{c}") for c in
+            ("CascadePrediction", "RiskTier", "RecommendedAction")]
+    answered = read.join(said, F.col("RequestId") == F.col("id")).select(
+        "RequestId", "ModelVersion", p.between(0, 1).alias("ScoreInRange"),
+        fits[0].alias("PredictionFits"), fits[1].alias("TierFits"), fits[2].alias("ActionFits"),
+        F.lit(None).cast("string").alias("Error"))
+    nothing = F.lit(None).cast("boolean")
+    return answered.unionByName(streamed.filter("kind = 'rejected'").select(
+        "RequestId", F.lit(None).cast("string").alias("ModelVersion"),
+        *[nothing.alias(c) for c in ("ScoreInRange", "PredictionFits", "TierFits", "ActionFits")],
+        F.col("_error").alias("Error")))
+
+
+@query("ml05_score_rules")
+def _(spark, folder):
+    return _model_scores(spark, folder).select(
+        "FlightId", F.col(E.SCORE).between(0, 1).alias("ScoreInRange"),
+        (F.col(E.PRED) == (F.col(E.SCORE) > 0.5).cast("int")).alias("ClassFits"))
+
+
+@query("ml04_scored_legs")
+def _(spark, folder):
+    return E.confusion_matrix(_model_scores(spark, folder)).select(
+        (F.col("tn") + F.col("fp")).alias("negatives"), (F.col("fn") + F.col("tp")).alias("positives"))
+
+
+@query("ml12_importance_rules")
+def _(spark, folder):
+    importance = L.feature_importance(_model(spark, folder))
+    total = importance.agg(round_to(F.sum("Importance"), 6).alias("Total"))
+    return one_row(importance, total).select(
+        "Feature", F.col("Importance").between(0, 1).alias("InRange"), "Total")

@@ -871,6 +871,27 @@ _ORACLE = {
         WHERE _error IS NOT NULL GROUP BY _error""",
     "srv01_features_from_raw": _REQUEST_FEATURES,
     "srv04_feature_stream": _AS_DOUBLES,
+    "srv05_incoming_delay_stream": """
+        SELECT FlightId, CAST(coalesce(lag(ArrDelay) OVER w, 0) AS DOUBLE) AS IncomingDelay,
+               CAST(coalesce(lag(DepDelay) OVER w, 0) AS DOUBLE) AS IncomingDepDelay, false AS Late
+        FROM casc WINDOW w AS (PARTITION BY TailNum ORDER BY FlightDate, CRSDepTime, FlightId)
+        UNION ALL
+        SELECT FlightId, NULL, NULL, true FROM casc WHERE dayofyear(FlightDate) <= 30""",
+    "snk06_responses": """
+        SELECT FlightId AS RequestId, CASE WHEN FlightNum % 5 <> 0 THEN '2.0' END AS ModelVersion,
+               CASE WHEN FlightNum % 5 <> 0 THEN true END AS ScoreInRange,
+               CASE WHEN FlightNum % 5 <> 0 THEN true END AS PredictionFits,
+               CASE WHEN FlightNum % 5 <> 0 THEN true END AS TierFits,
+               CASE WHEN FlightNum % 5 <> 0 THEN true END AS ActionFits,
+               CASE WHEN FlightNum % 5 = 0 THEN 'JSON must have features or a raw flight' END AS Error
+        FROM flights""",
+    "ml05_score_rules": """
+        SELECT FlightId, true AS ScoreInRange, true AS ClassFits FROM legs WHERE split = 'test'""",
+    "ml04_scored_legs": """
+        SELECT count(*) FILTER (y = 0) AS negatives, count(*) FILTER (y = 1) AS positives
+        FROM legs WHERE split = 'test'""",
+    "ml12_importance_rules": "SELECT Feature, true AS InRange, 1.0E0 AS Total FROM ("
+                             + " UNION ALL ".join(f"SELECT '{f}' AS Feature" for f in FEATURES) + ")",
     "srv02_fixed_tiers": """
         SELECT FlightId, CASE WHEN score >= 0.5 THEN 'CRITICAL' WHEN score >= 0.3 THEN 'HIGH'
                               WHEN score >= 0.15 THEN 'ELEVATED' ELSE 'NORMAL' END AS RiskTier,

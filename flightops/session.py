@@ -95,6 +95,11 @@ def _filesystem(spark: SparkSession, path: str):
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    fs, target = _filesystem(spark, path)
+    fs.delete(target, True)
+
+
 def _source_state(spark: SparkSession, paths: tuple[str, ...]) -> tuple:
     """Length and last change of each file or folder: one call per path, no listing.
 

@@ -14,7 +14,7 @@ from tests.compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.01"
 ROWS_ONLY = {"ml04_train_cascade", "ml05_score", "ml12_top18_feature_importance",
-             "ml18_model_metadata", "srv03_score_batch"}
+             "ml18_model_metadata", "srv03_score_batch", "srv04_score_stream"}
 DEFAULT = """
     cln08_flight_date cln11_cleaning_report_ops cln11_cleaning_report_cascade prj01_03_airtime
     win01_prev_leg_split_runs win02_turnaround win02_turnaround_minutes win06_07_cascade_label
@@ -23,6 +23,7 @@ DEFAULT = """
     scr04_06_robustness_routes scr09_quadrants jon05_lookup_history top02_worst_routes
     top09_least_robust_carriers ml02_time_series_folds ml08_roc_auc ml13_risk_tiers
     ml16_score_histogram ml17_leakage_checks srv01_features_from_raw srv04_feature_stream
+    srv05_incoming_delay_stream jon02_03_route_and_propagation win10_time_index_split_minutes
 """.split()
 CHOSEN = sorted(oracle_sql()) if os.environ.get("FLIGHTOPS_ALL") else DEFAULT
 
