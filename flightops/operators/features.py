@@ -7,7 +7,7 @@ import warnings
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightops.functions import as_flag, clip, one_row
+from flightops.functions import as_flag, clip, one_row, ratio
 from flightops.operators.rotation import walk_rotation
 from flightops.schema import FEATURES, LIMITS
 
@@ -98,31 +98,73 @@ def engineer(split: DataFrame, **hot) -> DataFrame:
 
 # -- history -------------------------------------------------------------------
 
-def history_route(train: DataFrame) -> DataFrame:
-    spread = F.coalesce(F.stddev_samp("ArrDelay"), F.lit(30.0))
-    return train.groupBy("Origin", "Dest").agg(
-        F.avg("ArrDelay").alias("RouteAvgDelay"),
-        F.stddev_samp("ArrDelay").alias("RouteStdDelay"),
-        F.percentile("ArrDelay", F.lit(0.5)).alias("RouteMedianDelay"),
-        F.avg("DepDelay").alias("RouteAvgDepDelay"),
-        clip(100 - clip(spread, 0, 60), 0, 100).alias("RouteRobustnessScore"),
+def history_cells(train: DataFrame) -> DataFrame:
+    """Counts and sums by route, carrier and whole minute of arrival delay.
+
+    One scan of the training legs serves all history tables: each is rolled up from the cells,
+    whose number is bounded by routes, carriers and minutes, not by legs. ``_ids`` adds up a
+    64-bit hash of each ``FlightId``, in any order, to tell later which legs are behind a table.
+    """
+    sums = {"_dep": "DepDelay", "_out": "TaxiOut", "_in": "TaxiIn"}
+    ids = F.xxhash64("FlightId") if "FlightId" in train.columns else F.lit(None)
+    return train.groupBy("Origin", "Dest", "UniqueCarrier", "ArrDelay").agg(
+        F.count(F.lit(1)).alias("_n"),
+        *[F.sum(c).alias(n) for n, c in sums.items()],
+        *[F.count(c).alias(f"{n}_n") for n, c in sums.items()],
+        F.sum(ids.cast("decimal(20,0)")).alias("_ids"),
     )
 
 
-def history_origin(train: DataFrame) -> DataFrame:
-    return train.groupBy("Origin").agg(
-        F.avg("DepDelay").alias("Origin_AvgDepDelay"), F.avg("TaxiOut").alias("OriginCongestion")
-    )
+def _mean_of(name: str) -> Column:
+    return ratio(F.sum(name), F.sum(f"{name}_n"))
 
 
-def history_dest(train: DataFrame) -> DataFrame:
-    return train.groupBy("Dest").agg(
-        F.avg("ArrDelay").alias("Dest_AvgArrDelay"), F.avg("TaxiIn").alias("DestCongestion")
-    )
+def _arr_moments() -> tuple[Column, Column, Column]:
+    """Exact count, sum and sum of squares of the arrival delays of cells."""
+    delay = F.col("ArrDelay").cast("decimal(12,0)")
+    weight = F.when(F.col("ArrDelay").isNotNull(), F.col("_n")).cast("decimal(14,0)")
+    return F.sum(weight), F.sum(delay * weight), F.sum(delay * delay * weight)
+
+
+def _arr_mean() -> Column:
+    n, total, _ = _arr_moments()
+    return ratio(total, n)
+
+
+def _arr_deviation() -> Column:
+    n, total, squares = (m.cast("double") for m in _arr_moments())
+    variance = ratio(squares - total * ratio(total, n), n - 1)
+    return F.when(n > 1, F.sqrt(F.greatest(variance, F.lit(0.0))))
+
 
+def _rolled(cells: DataFrame, name: str, *columns: Column) -> DataFrame:
+    return cells.groupBy(*HISTORY_KEYS[name]).agg(*columns)
 
-def history_carrier(train: DataFrame) -> DataFrame:
-    return train.groupBy("UniqueCarrier").agg(F.avg("ArrDelay").alias("CarrierAvgDelay"))
+
+def _route_columns() -> list[Column]:
+    spread = F.coalesce(_arr_deviation(), F.lit(30.0))
+    return [
+        _arr_mean().alias("RouteAvgDelay"),
+        _arr_deviation().alias("RouteStdDelay"),
+        F.percentile("ArrDelay", F.lit(0.5), F.col("_n")).alias("RouteMedianDelay"),
+        _mean_of("_dep").alias("RouteAvgDepDelay"),
+        clip(100 - clip(spread, 0, 60), 0, 100).alias("RouteRobustnessScore"),
+    ]
+
+
+def _history_columns() -> dict[str, list[Column]]:
+    return {
+        "route": _route_columns(),
+        "origin": [_mean_of("_dep").alias("Origin_AvgDepDelay"),
+                   _mean_of("_out").alias("OriginCongestion")],
+        "dest": [_arr_mean().alias("Dest_AvgArrDelay"), _mean_of("_in").alias("DestCongestion")],
+        "carrier": [_arr_mean().alias("CarrierAvgDelay")],
+    }
+
+
+def history_table(train: DataFrame, name: str) -> DataFrame:
+    """The route, origin, dest or carrier history of the training legs."""
+    return _rolled(history_cells(train), name, *_history_columns()[name])
 
 
 HISTORY_KEYS = {
@@ -133,13 +175,16 @@ HISTORY_KEYS = {
 }
 
 
-def history_tables(train: DataFrame) -> dict[str, DataFrame]:
-    """The four history tables, from training rows only."""
+# what a history table says of the legs behind each row: their number and their ids
+SOURCE = ("SourceLegs", "SourceIds")
+
+
+def history_tables(cells: DataFrame) -> dict[str, DataFrame]:
+    """The four history tables, from the cells of the training legs, with their sources."""
     return {
-        "route": history_route(train),
-        "origin": history_origin(train),
-        "dest": history_dest(train),
-        "carrier": history_carrier(train),
+        name: _rolled(cells, name, *columns, F.sum("_n").alias(SOURCE[0]),
+                      F.sum("_ids").alias(SOURCE[1]))
+        for name, columns in _history_columns().items()
     }
 
 
@@ -153,7 +198,7 @@ def apply_history(df: DataFrame, stats: dict[str, DataFrame]) -> DataFrame:
     joined = df
     for name, keys in HISTORY_KEYS.items():
         if name in stats:
-            joined = joined.join(stats[name], keys, "left")
+            joined = joined.join(stats[name].drop(*SOURCE), keys, "left")
     return joined
 
 

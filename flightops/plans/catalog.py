@@ -493,23 +493,23 @@ def _(spark, folder):
 
 @query("agg21_history_route")
 def _(spark, folder):
-    return _six(X.history_route(_train(spark, folder)), "RouteAvgDelay", "RouteStdDelay",
+    return _six(X.history_table(_train(spark, folder), "route"), "RouteAvgDelay", "RouteStdDelay",
                 "RouteAvgDepDelay", "RouteRobustnessScore")
 
 
 @query("agg22_history_origin")
 def _(spark, folder):
-    return _six(X.history_origin(_train(spark, folder)), "Origin_AvgDepDelay", "OriginCongestion")
+    return _six(X.history_table(_train(spark, folder), "origin"), "Origin_AvgDepDelay", "OriginCongestion")
 
 
 @query("agg23_history_dest")
 def _(spark, folder):
-    return _six(X.history_dest(_train(spark, folder)), "Dest_AvgArrDelay", "DestCongestion")
+    return _six(X.history_table(_train(spark, folder), "dest"), "Dest_AvgArrDelay", "DestCongestion")
 
 
 @query("agg24_history_carrier")
 def _(spark, folder):
-    return _six(X.history_carrier(_train(spark, folder)), "CarrierAvgDelay")
+    return _six(X.history_table(_train(spark, folder), "carrier"), "CarrierAvgDelay")
 
 
 @query("agg25_train_medians")
@@ -1043,16 +1043,63 @@ def _(spark, folder):
     return S.top_k(L.feature_importance(_model(spark, folder)), "Importance", 20, "Feature")
 
 
-@query("ml18_model_metadata")
+def _folds(spark, folder) -> DataFrame:
+    """The filled training part with its folds, stored."""
+    train = _filled(spark, folder).filter(F.col("split") == "train")
+    return staged(spark, "folds", lambda: P.time_series_folds(P.with_time_index(train)),
+                  _sources(folder))
+
+
+@_once
+def _cross_validated(spark, folder) -> DataFrame:
+    """Metrics of the model on each fold, fitted with the defaults on the folds before it."""
+    return staged(spark, "fold-metrics", lambda: L.cross_validate(_folds(spark, folder)),
+                  _sources(folder))
+
+
+@query("ml03_cross_validation")
 def _(spark, folder):
+    return _cross_validated(spark, folder)
+
+
+@query("ml03_cross_validation_rules")
+def _(spark, folder):
+    # what holds for each fold whatever the model says: its rows, and metrics from 0 to 1
+    profile = P.fold_profile(_folds(spark, folder))
+    bounded = F.lit(True)
+    for name in ("f1", "recall", "precision", "accuracy"):
+        bounded = bounded & F.col(name).between(0, 1)
+    return profile.join(_cross_validated(spark, folder), "ValFold").select(
+        "ValFold", "train_rows", "val_rows", bounded.alias("Bounded"))
+
+
+def _metadata(spark, folder) -> DataFrame:
     prepared, scored = _prepared(spark, folder), _model_scores(spark, folder)
-    folds = P.time_series_folds(P.with_time_index(_scored(spark, folder, "train")))
     return Q.model_metadata(
         prepared, one_row(E.binary_metrics(scored), E.roc_auc(scored)),
-        E.cv_summary(E.fold_metrics(folds)), T.tier_thresholds(scored),
+        E.cv_summary(_cross_validated(spark, folder)), T.tier_thresholds(scored),
     )
 
 
+@query("ml18_model_metadata")
+def _(spark, folder):
+    return _metadata(spark, folder)
+
+
+@query("ml18_metadata_rules")
+def _(spark, folder):
+    # the parts that do not depend on the model
+    return _metadata(spark, folder).select(
+        "model_version", F.col("training_period.start").alias("train_start"),
+        F.col("training_period.end").alias("train_end"), F.col("test_period.start").alias("test_start"),
+        F.col("test_period.end").alias("test_end"),
+        F.col("data_leakage_checks.temporal_split").alias("temporal_split"),
+        F.col("data_leakage_checks.statistics_source").alias("statistics_source"),
+        F.array_join("features", ",").alias("features"),
+        (F.col("risk_tiers.critical_threshold") >= F.col("risk_tiers.elevated_threshold"))
+        .alias("tiers_ordered"))
+
+
 def _broken_requests(spark, folder) -> DataFrame:
     """The raw requests; those for the unknown airport have lost their destination."""
     return _raw_requests(spark, folder).withColumn("value", F.when(

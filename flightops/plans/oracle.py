@@ -885,6 +885,19 @@ _ORACLE = {
                CASE WHEN FlightNum % 5 <> 0 THEN true END AS ActionFits,
                CASE WHEN FlightNum % 5 = 0 THEN 'JSON must have features or a raw flight' END AS Error
         FROM flights""",
+    "ml03_cross_validation_rules": """
+        SELECT fold AS ValFold, CAST(min(idx) AS BIGINT) AS train_rows, count(*) AS val_rows,
+               true AS Bounded
+        FROM folds WHERE fold > 0 GROUP BY fold""",
+    "ml18_metadata_rules": f"""
+        SELECT '2.0' AS model_version, strftime(min(FlightDate) FILTER (split='train'), '%Y-%m-%d')
+                 AS train_start,
+               strftime(max(FlightDate) FILTER (split='train'), '%Y-%m-%d') AS train_end,
+               strftime(min(FlightDate) FILTER (split='test'), '%Y-%m-%d') AS test_start,
+               strftime(max(FlightDate) FILTER (split='test'), '%Y-%m-%d') AS test_end,
+               'PASS' AS temporal_split, 'training_only' AS statistics_source,
+               '{",".join(FEATURES)}' AS features, true AS tiers_ordered
+        FROM legs""",
     "ml05_score_rules": """
         SELECT FlightId, true AS ScoreInRange, true AS ClassFits FROM legs WHERE split = 'test'""",
     "ml04_scored_legs": """

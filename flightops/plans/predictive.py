@@ -62,9 +62,10 @@ def prepare(
     spark = flights.sparkSession
     legs = labelled_legs(flights, q, clock, sources, **hot)
     train = legs.filter(F.col("split") == "train")
+    cells = staged(spark, f"cells-{clock}-{q}", lambda: X.history_cells(train), sources)
     history = {
         name: staged(spark, f"history-{name}-{clock}-{q}", lambda t=table: t, sources)
-        for name, table in X.history_tables(train).items()
+        for name, table in X.history_tables(cells).items()
     }
 
     def build() -> DataFrame:
@@ -98,7 +99,10 @@ def model_metadata(
             < F.min(F.when(F.col("split") == "test", F.col("FlightDate"))), "PASS",
         ).otherwise("FAIL").alias("_order"),
     )
-    row = one_row(one_row(one_row(periods, metrics), cv), thresholds)
+    statistics = T.source_checks(prepared.unfilled, prepared.history).agg(
+        F.when(F.bool_and(F.col("status") == "PASS"), "training_only").otherwise("FAIL")
+        .alias("_statistics"))
+    row = one_row(one_row(one_row(one_row(periods, metrics), cv), thresholds), statistics)
     return row.select(
         F.lit(version).alias("model_version"),
         F.lit("CascadePrediction_GBT").alias("model_type"),
@@ -111,8 +115,9 @@ def model_metadata(
         F.struct("mean_f1", "mean_recall", "mean_precision").alias("cross_validation"),
         F.struct(
             F.col("_order").alias("temporal_split"),
-            F.lit("training_only").alias("statistics_source"),
-            F.col("_order").alias("validation_status"),
+            F.col("_statistics").alias("statistics_source"),
+            F.when(F.col("_statistics") == "FAIL", "FAIL").otherwise(F.col("_order"))
+            .alias("validation_status"),
         ).alias("data_leakage_checks"),
         F.struct(
             F.col("critical").alias("critical_threshold"), F.col("high").alias("high_threshold"),

@@ -14,7 +14,7 @@ from tests.compare import connect, difference
 
 FOLDER = "/root/testdata/sf0.01"
 ROWS_ONLY = {"ml04_train_cascade", "ml05_score", "ml12_top18_feature_importance",
-             "ml18_model_metadata", "srv03_score_batch", "srv04_score_stream"}
+             "ml18_model_metadata", "ml03_cross_validation", "srv03_score_batch", "srv04_score_stream"}
 DEFAULT = """
     cln08_flight_date cln11_cleaning_report_ops cln11_cleaning_report_cascade prj01_03_airtime
     win01_prev_leg_split_runs win02_turnaround win02_turnaround_minutes win06_07_cascade_label

@@ -2,8 +2,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from flightops.operators import evaluate as E
+from flightops.operators import features as X
 from flightops.operators import tiers as T
 from tests.conftest import day, rows
 
@@ -112,15 +114,26 @@ def test_fixed_tiers_at_the_limits(spark):
 
 def test_leakage_checks(spark):
     df = spark.createDataFrame(
-        [("train", day(1), 10.0), ("train", day(2), 10.0), ("test", day(3), 10.1)],
-        "split string, FlightDate date, RouteAvgDelay double")
+        [("a", "train", day(1), 10.0), ("b", "train", day(2), 10.0), ("c", "test", day(3), 10.1)],
+        "FlightId string, split string, FlightDate date, RouteAvgDelay double")
+    legs = df.select("*", *[F.lit(1).alias(c) for c in (
+        "Origin", "Dest", "UniqueCarrier", "ArrDelay", "DepDelay", "TaxiOut", "TaxiIn")])
     recall = spark.createDataFrame([(0.97,)], "recall double")
-    got = {(r.check, r.measure.split()[0]): (r.value, r.status)
-           for r in T.leakage_checks(df, {"route": df}, recall).collect()}
-    assert got == {("temporal_order", "days"): (1.0, "PASS"),
-                   ("feature_drift", "RouteAvgDelay"): (1.0, "WARNING"),
-                   ("statistics_source", "route"): (3.0, "PASS"),
-                   ("recall_sanity", "test"): (0.97, "WARNING")}
-    same_day = spark.createDataFrame([("train", day(3), 1.0), ("test", day(3), 2.0)],
-                                     "split string, FlightDate date, RouteAvgDelay double")
+
+    def checks(source):
+        stats = X.history_tables(X.history_cells(source))
+        return {(r.check, r.measure.split()[0]): (r.value, r.status)
+                for r in T.leakage_checks(df, {"route": stats["route"]}, recall).collect()}
+
+    assert checks(legs.filter("split = 'train'")) == {
+        ("temporal_order", "days"): (1.0, "PASS"),
+        ("feature_drift", "RouteAvgDelay"): (1.0, "WARNING"),
+        ("statistics_source", "route"): (1.0, "PASS"),
+        ("recall_sanity", "test"): (0.97, "WARNING")}
+    # test legs in the statistics, a missing leg, and as many legs that are others
+    for source in (legs, legs.filter("FlightId = 'a'"), legs.filter("FlightId <> 'a'"),
+                   legs.limit(0)):
+        assert checks(source)["statistics_source", "route"][1] == "FAIL"
+    same_day = spark.createDataFrame([("a", "train", day(3), 1.0), ("b", "test", day(3), 2.0)],
+                                     df.schema)
     assert T.leakage_checks(same_day, {}).filter("check = 'temporal_order'").first().status == "FAIL"

@@ -49,7 +49,7 @@ def test_history_and_fill(spark):
         "Origin string, Dest string, UniqueCarrier string, ArrDelay int, DepDelay int, TaxiOut int,"
         " TaxiIn int",
     )
-    stats = X.history_tables(train)
+    stats = X.history_tables(X.history_cells(train))
     route = {(r.Origin, r.Dest): r for r in stats["route"].collect()}
     ab, ac = route["A", "B"], route["A", "C"]
     assert ab.RouteAvgDelay == 15.0 and math.isclose(ab.RouteStdDelay, 50 ** 0.5)
