@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flightops.functions.columns import one_row
 from flightops.session import staged
 
-_STEP = 4096
+CELL_ROWS = 1 << 17  # rows of a cell, about; a cell is one task
 
 
 def with_position(
@@ -35,41 +35,39 @@ def with_position(
         name, F.col("_row") + F.col("_shift")).drop("_part", "_row", "_shift")
 
 
-def running_totals(df: DataFrame, by: str, sums: list[str]) -> DataFrame:
+def running_totals(
+    df: DataFrame, by: str, sums: list[str], cell_rows: int = CELL_ROWS
+) -> DataFrame:
     """Add ``<name>_before``: the total of each column over rows with a smaller ``by``.
 
-    ``by`` must be distinct and lie in [0, 1]. A window over all rows would run in one
-    task, so values are cut into 4096 slices of 4096 cells: a window over slices, one
-    over the cells of each slice, and one over the rows of each cell.
+    ``by`` must be distinct. A window over all rows would run in one task, so the values are cut
+    into cells by quantiles that Spark samples: equal shares of the rows, however close their
+    values lie. A window runs inside each cell, one over the totals of the cells. Runs jobs: one
+    counts the rows, one stores them if there is more than one cell.
     """
-    cut = df.withColumns({
-        "_slice": F.floor(F.col(by) * _STEP), "_cell": F.floor(F.col(by) * (_STEP * _STEP)),
-    })
     earlier = (Window.unboundedPreceding, -1)
 
     def before(window: Window, name: str):
         return F.coalesce(F.sum(name).over(window.rowsBetween(*earlier)), F.lit(0))
 
-    cells = cut.groupBy("_slice", "_cell").agg(*[F.sum(c).alias(c) for c in sums])
-    slices = cells.groupBy("_slice").agg(*[F.sum(c).alias(c) for c in sums])
-    slices = slices.select(
-        "_slice", *[before(Window.orderBy("_slice"), c).alias(f"_s_{c}") for c in sums]
-    )
-    in_slice = Window.partitionBy("_slice").orderBy("_cell")
-    cells = cells.withColumns({f"_c_{c}": before(in_slice, c) for c in sums}).drop(*sums)
-    offsets = cells.join(slices, "_slice").select(
-        "_slice", "_cell",
-        *[(F.col(f"_c_{c}") + F.col(f"_s_{c}")).alias(f"_o_{c}") for c in sums],
-    )
-    in_cell = Window.partitionBy("_slice", "_cell").orderBy(by)
+    # half as many rows on average, so that uneven samples stay below the size
+    cells = -(-2 * df.count() // cell_rows)
+    if cells <= 2:
+        return df.withColumns({f"{c}_before": before(Window.orderBy(by), c) for c in sums})
+    cut = staged(df.sparkSession, "cells", lambda: df.repartitionByRange(cells, by).withColumn(
+        "_cell", F.spark_partition_id()))
+    totals = cut.groupBy("_cell").agg(*[F.sum(c).alias(c) for c in sums])
+    offsets = totals.select("_cell", *[
+        before(Window.orderBy("_cell"), c).alias(f"_o_{c}") for c in sums])
+    in_cell = Window.partitionBy("_cell").orderBy(by)
     local = cut.withColumns({f"_r_{c}": before(in_cell, c) for c in sums})
-    return local.join(offsets, ["_slice", "_cell"]).select(
+    return local.join(offsets, "_cell").select(
         *df.columns, *[(F.col(f"_r_{c}") + F.col(f"_o_{c}")).alias(f"{c}_before") for c in sums]
     )
 
 
 def exact_quantiles(df: DataFrame, col: str, quantiles: dict[str, float]) -> DataFrame:
-    """One row of linearly interpolated quantiles of a column in [0, 1].
+    """One row of linearly interpolated quantiles of a column.
 
     Works on counts of distinct values and never gathers the values in one task.
     """

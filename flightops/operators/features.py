@@ -215,24 +215,15 @@ def select_features(
 
 
 def train_medians(train: DataFrame, cols: tuple[str, ...] = FEATURES) -> DataFrame:
-    """One row of exact medians.
+    """One row of exact medians, from one pass over the legs.
 
-    Equal values are counted first, spread over all tasks. Features take few distinct
-    values (clock values, flags, one value per history key), so what is left is small.
+    Each task counts the distinct values of every column, and the counts are merged. Features
+    take few values (clock minutes, flags, one value per history key), so what is merged does
+    not grow with the legs.
     """
     present = [c for c in cols if c in train.columns]
-    long = train.select([F.col(c).cast("double").alias(c) for c in present]).unpivot(
-        [], present, "_feature", "_value"
-    )
-    counts = long.filter(F.col("_value").isNotNull()).groupBy("_feature", "_value").agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    medians = counts.groupBy("_feature").agg(
-        F.percentile("_value", F.lit(0.5), F.col("_n")).alias("_median")
-    )
-    return medians.agg(*[
-        F.max(F.when(F.col("_feature") == c, F.col("_median"))).alias(c) for c in present
-    ])
+    return train.agg(*[
+        F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in present])
 
 
 def fill_features(df: DataFrame, medians: DataFrame) -> DataFrame:

@@ -36,12 +36,19 @@ def test_ratio_and_clock(spark):
     assert one(spark, hhmm_to_minutes(F.col("a")), a=5) == 5
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_running_totals_match_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, cell_rows", [(1, 1 << 17), (2, 40), (3, 40)])
+def test_running_totals_match_brute_force(spark, seed, cell_rows):
     rng = random.Random(seed)
     values = sorted({rng.random() ** 6 for _ in range(300)} | {0.0, 1.0})
+    if seed == 3:  # all within 1e-9 of each other
+        values = [0.5 + i * 2e-12 for i in range(300)]
     data = [(v, rng.randint(0, 9)) for v in values]
-    got = rows(running_totals(spark.createDataFrame(data, "x double, n long"), "x", ["n"]))
+    totals = running_totals(spark.createDataFrame(data, "x double, n long"), "x", ["n"], cell_rows)
+    got = rows(totals)
+    if cell_rows < 300:
+        cells = spark.read.parquet(*{f.rpartition("/")[0] for f in totals.inputFiles()})
+        sizes = [r["count"] for r in cells.groupBy("_cell").count().collect()]
+        assert len(sizes) > 5 and max(sizes) <= cell_rows
     total, want = 0, []
     for v, n in data:
         want.append((v, n, total))
