@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightops.functions import as_flag, clip, ratio, round_to
+from flightops.functions import as_flag, clip, one_row, ratio, round_to
 from flightops.schema import LIMITS, REQUIRED_CASCADE, REQUIRED_OPS
 
 
@@ -91,10 +91,13 @@ def clean_cascade(df: DataFrame) -> DataFrame:
     return dated.filter(_present(REQUIRED_CASCADE)).filter(valid_cascade_ranges())
 
 
-def cleaning_report(raw: DataFrame, rules: str = "ops") -> DataFrame:
+def cleaning_report(
+    raw: DataFrame, rules: str = "ops", rejects: DataFrame | None = None
+) -> DataFrame:
     """One row of counts for the ``ops`` or the ``cascade`` rules, in one pass.
 
-    Rules apply in order; a row counts for the first rule it breaks.
+    Rules apply in order; a row counts for the first rule it breaks. ``rejects`` are the lines
+    of the source that gave no row; their number is added as ``rejected_lines``.
     """
     df = with_flight_date(raw)
     flown = F.col("Cancelled") == 0
@@ -130,6 +133,8 @@ def cleaning_report(raw: DataFrame, rules: str = "ops") -> DataFrame:
         F.min(F.when(kept, F.col("FlightDate"))).alias("first_date"),
         F.max(F.when(kept, F.col("FlightDate"))).alias("last_date"),
     )
+    if rejects is not None:
+        counts = one_row(counts, rejects.agg(F.count("line").alias("rejected_lines")))
     return counts.withColumns({
         "removed_rows": F.col("initial_rows") - F.col("cleaned_rows"),
         "retention_pct": round_to(ratio(F.col("cleaned_rows"), F.col("initial_rows")) * 100, 2),

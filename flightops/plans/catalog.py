@@ -10,6 +10,7 @@ import uuid
 from collections.abc import Callable
 from functools import wraps
 
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,7 +30,9 @@ from flightops.plans import descriptive as D
 from flightops.plans import predictive as Q
 from flightops.schema import FEATURES, HISTORY, LIMITS
 from flightops.session import remembered, session_folder, source_key, staged
+from flightops.sources import read_carriers, read_flight_rejects, read_flights
 from flightops.sources import requests as I
+from flightops.sources import sinks as K
 from flightops.sources.sinks import load_model, save_model
 from flightops.sources.tables import table_carriers, table_flights
 from flightops.streaming import jobs as J
@@ -903,6 +906,122 @@ def _feature_columns(parsed: DataFrame) -> DataFrame:
     )
 
 
+# -- files ----------------------------------------------------------------------
+
+@_once
+def _file_folder(spark, folder) -> str:
+    """Flights and carriers as CSV files; each tenth flight stands in a line without an end."""
+    base = f"{session_folder(spark)}/files-{uuid.uuid4().hex}"
+    columns = [f.name for f in table_flights(spark, folder).schema if f.name != "FlightDate"]
+    text = table_flights(spark, folder).select(*[
+        F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in columns])
+    header = {"header": True, "encoding": "ISO-8859-1"}
+    whole, path = F.col("FlightNum").cast("long") % 10 != 0, f"{base}/airline.csv"
+    text.filter(whole).write.options(**header).csv(path)
+
+    def headed(batches):  # as in every file of the CSV writer
+        yield pa.RecordBatch.from_pydict({"value": [",".join(columns)]})
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0)], ["value"])
+
+    cut = text.filter(~whole).select(F.concat_ws(",", *columns[:3]).alias("value"))
+    cut.mapInArrow(headed, "value string").write.mode("append").text(path)
+    table_carriers(spark, folder).write.options(**header).csv(f"{base}/carriers.csv")
+    return base
+
+
+@query("src01_flight_csv")
+def _(spark, folder):
+    read = read_flights(spark, _file_folder(spark, folder))
+    return C.with_flight_date(read).select(*table_flights(spark, folder).columns)
+
+
+@query("src01_rejected_lines")
+def _(spark, folder):
+    return read_flight_rejects(spark, _file_folder(spark, folder)).select(
+        F.split("line", ",")[0].alias("FlightId"), "line", "reason")
+
+
+@query("src02_row_limit")
+def _(spark, folder):
+    read = read_flights(spark, _file_folder(spark, folder), limit=1000)
+    return read.agg(F.count(F.lit(1)).alias("flights"))
+
+
+@query("src03_carrier_csv")
+def _(spark, folder):
+    return read_carriers(spark, _file_folder(spark, folder))
+
+
+@query("cln11_cleaning_report_rejects")
+def _(spark, folder):
+    path = _file_folder(spark, folder)
+    return C.cleaning_report(
+        read_flights(spark, path), "cascade", read_flight_rejects(spark, path)
+    ).select("initial_rows", "cleaned_rows", "rejected_lines")
+
+
+@_once
+def _result_set(spark, folder) -> str:
+    """Result tables of the descriptive run and histories, published as one version."""
+    base = f"{session_folder(spark)}/set-{uuid.uuid4().hex}"
+    history = {f"history_{n}": t for n, t in _prepared(spark, folder).history.items()}
+    K.write_set({
+        "carriers": _carriers(spark, folder), "taxi_out": _taxi(spark, folder)[0],
+        "features": K.feature_list(spark), **history,
+    }, base, {"taxi_out": "csv", "features": "json"})
+    return base
+
+
+@query("snk01_result_tables")
+def _(spark, folder):
+    return K.read_set(spark, _result_set(spark, folder))["carriers"].select(
+        "UniqueCarrier", "Description", "EfficiencyScore", "RobustnessScore", "FlightCount")
+
+
+@query("snk01_result_tables_csv")
+def _(spark, folder):
+    return K.read_set(spark, _result_set(spark, folder))["taxi_out"].select(
+        "Origin", "AvgTaxiOut", "P90TaxiOut", "FlightCount", "TaxiOutInefficiency")
+
+
+@query("snk02_history_tables")
+def _(spark, folder):
+    tables = K.read_set(spark, _result_set(spark, folder))
+    return _six(tables["history_origin"], "Origin_AvgDepDelay", "OriginCongestion").select(
+        "Origin", "Origin_AvgDepDelay", "OriginCongestion", "SourceLegs")
+
+
+@query("snk03_feature_list")
+def _(spark, folder):
+    return K.read_set(spark, _result_set(spark, folder))["features"]
+
+
+@_once
+def _model_set(spark, folder) -> str:
+    """The model with its importance table, published as one version."""
+    base = f"{session_folder(spark)}/set-{uuid.uuid4().hex}"
+    model = _model(spark, folder)
+    K.write_set({"importance": L.feature_importance(model)}, base, {"importance": "csv"}, model)
+    return base
+
+
+@query("snk04_importance_csv")
+def _(spark, folder):
+    read = K.read_set(spark, _model_set(spark, folder))["importance"]
+    return read.select("Feature", F.col("Importance").between(0, 1).alias("InRange"))
+
+
+@query("snk05_saved_model")
+def _(spark, folder):
+    # the scores of the model that was saved and loaded are those of the one in use
+    test = _filled(spark, folder).filter(F.col("split") == "test")
+    again = L.score(test, K.read_set_model(spark, _model_set(spark, folder))).select(
+        "FlightId", F.col(E.SCORE).alias("again"))
+    return _model_scores(spark, folder).join(again, "FlightId").select(
+        "FlightId", (F.col("again") == F.col(E.SCORE)).alias("Same"))
+
+
 @query("src04_csv_requests")
 def _(spark, folder):
     lines = table_flights(spark, folder).select(

@@ -850,6 +850,31 @@ _ORACLE = {
         UNION ALL SELECT 'recall_sanity', 'test recall',
                round_even(tp*1.0E0/(tp+fn)*1000000, 0)/1000000,
                CASE WHEN tp*1.0E0/(tp+fn) > 0.95 THEN 'WARNING' ELSE 'PASS' END FROM cm""",
+    "src01_flight_csv": "SELECT * FROM flights WHERE FlightNum % 10 <> 0",
+    "src01_rejected_lines": """
+        SELECT FlightId, concat_ws(',', FlightId, FlightNum, Year) AS line, 'not 21 fields' AS reason
+        FROM flights WHERE FlightNum % 10 = 0""",
+    "src02_row_limit": """
+        SELECT least(1000, count(*)) AS flights FROM flights WHERE FlightNum % 10 <> 0""",
+    "src03_carrier_csv": "SELECT Code, Description FROM carriers",
+    "cln11_cleaning_report_rejects": """
+        SELECT (SELECT count(*) FROM flights WHERE FlightNum % 10 <> 0) AS initial_rows,
+               (SELECT count(*) FROM casc WHERE FlightNum % 10 <> 0) AS cleaned_rows,
+               (SELECT count(*) FROM flights WHERE FlightNum % 10 = 0) AS rejected_lines""",
+    "snk01_result_tables": """
+        SELECT UniqueCarrier, Description, EfficiencyScore, RobustnessScore, FlightCount
+        FROM ctable""",
+    "snk01_result_tables_csv": """
+        SELECT Origin, AvgTaxiOut, P90TaxiOut, FlightCount, TaxiOutInefficiency FROM tout""",
+    "snk02_history_tables": """
+        SELECT Origin, round_even(avg(DepDelay)*1000000, 0)/1000000 AS Origin_AvgDepDelay,
+               round_even(avg(TaxiOut)*1000000, 0)/1000000 AS OriginCongestion,
+               count(*) AS SourceLegs FROM train GROUP BY Origin""",
+    "snk03_feature_list": " UNION ALL ".join(
+        f"SELECT CAST({i} AS INT) AS position, '{f}' AS feature" for i, f in enumerate(FEATURES)),
+    "snk04_importance_csv": " UNION ALL ".join(
+        f"SELECT '{f}' AS Feature, true AS InRange" for f in FEATURES),
+    "snk05_saved_model": "SELECT FlightId, true AS Same FROM legs WHERE split = 'test'",
     "src04_csv_requests": f"SELECT FlightId AS RequestId, {_NUMBERS} FROM flights",
     "src05_json_feature_requests": f"SELECT FlightId AS RequestId, {_NUMBERS} FROM flights",
     "src06_json_raw_requests": """

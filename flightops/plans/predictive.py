@@ -166,4 +166,9 @@ def run_training(flights: DataFrame, path: str, k: int = 5, **params) -> Trainin
     sinks.write_history(prepared.history, path)
     sinks.write_importance(M.feature_importance(model), path)
     sinks.write_metadata(metadata, path)
+    # the same as a version of its own, which readers get whole or not at all
+    sinks.write_set(
+        {**{f"history_{n}": t for n, t in prepared.history.items()}, "metadata": metadata,
+         "features": sinks.feature_list(spark), "importance": M.feature_importance(model)},
+        path, {"metadata": "json", "importance": "csv"}, model)
     return TrainingRun(prepared, model, scored, metrics, cv, thresholds, checks, metadata)

@@ -71,7 +71,7 @@ def session_folder(spark: SparkSession) -> str:
     """Where this session keeps its staged tables; it goes when the application ends."""
     path = f"{shared_folder(spark)}/flightops/{spark.sparkContext.applicationId}"
     if path not in _FOLDERS:
-        fs, target = _filesystem(spark, path)
+        fs, target = filesystem(spark, path)
         fs.mkdirs(target)
         fs.deleteOnExit(target)
         _FOLDERS.add(path)
@@ -80,7 +80,7 @@ def session_folder(spark: SparkSession) -> str:
 
 def drop_staged(spark: SparkSession) -> None:
     """Delete the tables this session staged; frames read from them become unusable."""
-    fs, folder = _filesystem(spark, session_folder(spark))
+    fs, folder = filesystem(spark, session_folder(spark))
     fs.delete(folder, True)
     _FOLDERS.discard(session_folder(spark))
     app = spark.sparkContext.applicationId
@@ -89,14 +89,14 @@ def drop_staged(spark: SparkSession) -> None:
             del kept[key]
 
 
-def _filesystem(spark: SparkSession, path: str):
+def filesystem(spark: SparkSession, path: str):
     """(file system, path) of the Hadoop API, which serves every storage Spark reads."""
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
 
 
 def delete_folder(spark: SparkSession, path: str) -> None:
-    fs, target = _filesystem(spark, path)
+    fs, target = filesystem(spark, path)
     fs.delete(target, True)
 
 
@@ -107,7 +107,7 @@ def _source_state(spark: SparkSession, paths: tuple[str, ...]) -> tuple:
     """
     states = []
     for path in paths:
-        fs, target = _filesystem(spark, path)
+        fs, target = filesystem(spark, path)
         status = fs.getFileStatus(target)
         states.append((path, status.getLen(), status.getModificationTime()))
     return tuple(states)
@@ -117,7 +117,7 @@ def stored_bytes(spark: SparkSession, paths: tuple[str, ...]) -> int:
     """Bytes of all files under the paths, which are listed for it."""
     found = 0
     for path in paths:
-        fs, target = _filesystem(spark, path)
+        fs, target = filesystem(spark, path)
         found += fs.getContentSummary(target).getLength()
     return found
 

@@ -76,6 +76,17 @@ def test_artifacts(spark, run):
     assert record["risk_tiers"]["critical_threshold"] >= record["risk_tiers"]["high_threshold"]
 
 
+def test_training_run_is_a_set(spark, run):
+    path, result = run
+    back = sinks.read_set(spark, path)
+    assert set(back) == {*(f"history_{n}" for n in result.prepared.history), "metadata", "features",
+                         "importance"}
+    assert [r.feature for r in back["features"].orderBy("position").collect()] == list(FEATURES)
+    test = result.prepared.features.filter("split = 'test'")
+    model = sinks.read_set_model(spark, path)
+    assert rows(L.score(test, model), "FlightId", SCORE) == rows(result.scored, "FlightId", SCORE)
+
+
 def test_class_weight_without_positives(spark):
     df = spark.createDataFrame([(0,), (0,)], "CausedCascade int")
     assert L.class_weight(df).first().weight is None
@@ -146,3 +157,44 @@ def test_drop_staged(spark, tmp_path):
     drop_staged(spark)
     assert not path.exists()
     assert staged(spark, "d", lambda: spark.read.parquet(source), (source,)).count() == 3
+
+
+@pytest.fixture
+def tables(spark):
+    return {"one": spark.createDataFrame([(1, "a", 0.1), (2, None, None)], "n int, t string, x double"),
+            "two": spark.range(5), "none": spark.range(0)}
+
+
+def test_sets_are_read_as_written(spark, tmp_path, tables):
+    path = str(tmp_path)
+    first = sinks.write_set(tables, path, {"one": "csv", "two": "json"})
+    back = sinks.read_set(spark, path)
+    assert {n: rows(back[n]) for n in back} == {n: rows(t) for n, t in tables.items()}
+    assert {n: back[n].dtypes for n in back} == {n: t.dtypes for n, t in tables.items()}
+    second = sinks.write_set({"two": spark.range(3)}, path)
+    assert sinks.read_set(spark, path)["two"].count() == 3  # the last version
+    assert sinks.read_set(spark, path, first)["two"].count() == 5  # the older one is still there
+    assert [v.rpartition("/")[2] for v in sinks.published(spark, path)] == [
+        v.rpartition("/")[2] for v in (first, second)]
+
+
+def test_broken_sets_are_refused(spark, tmp_path, tables):
+    path = str(tmp_path)
+    with pytest.raises(sinks.BrokenSet):
+        sinks.read_set(spark, path)
+    first, second = (sinks.write_set({"two": spark.range(n)}, path) for n in (5, 6))
+    # a version that was not finished is not read; the one before it is
+    half = sinks.write_set({"two": spark.range(9)}, path)
+    Path(half, "manifest", "_SUCCESS").unlink()
+    assert sinks.read_set(spark, path)["two"].count() == 6
+    with pytest.raises(sinks.BrokenSet):
+        sinks.read_set(spark, path, half)
+    # a member of another version, with as many rows, and one that is gone
+    spark.range(1, 7).write.mode("overwrite").parquet(f"{second}/two")
+    with pytest.raises(sinks.BrokenSet):
+        sinks.read_set(spark, path, second)
+    assert sinks.read_set(spark, path, first)["two"].count() == 5
+    for part in Path(first, "two").glob("*"):
+        part.unlink()
+    with pytest.raises(sinks.BrokenSet):
+        sinks.read_set(spark, path, first)

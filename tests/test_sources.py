@@ -1,7 +1,7 @@
 import pytest
 
 from flightops.operators.clean import coerce_numeric, with_flight_date
-from flightops.sources import read_carriers, read_flights
+from flightops.sources import read_carriers, read_flight_rejects, read_flights
 from tests.conftest import day, rows
 
 HEADER = ("Month,Year,DayofMonth,CRSDepTime,UniqueCarrier,FlightNum,TailNum,Origin,Dest,ArrDelay,"
@@ -57,3 +57,16 @@ def test_flight_date(spark, folder):
 def test_coerce_numeric(spark):
     df = spark.createDataFrame([("1",), ("NA",), (None,), ("2.5",)], "a string")
     assert rows(coerce_numeric(df, ("a",))) == [(None,), (None,), (1.0,), (2.5,)]
+
+
+def test_malformed_lines_are_rejected(spark, folder, tmp_path):
+    """Lines cut short or with a field too many go to the rejects; bad numbers stay, as nulls."""
+    path = tmp_path / "airline.csv"
+    path.write_bytes(path.read_bytes() + b"1,2008,5\n1,2008,5,9,WN,8,N1,A,B,1,1,0,note,more\n")
+    flights, rejects = read_flights(spark, folder), read_flight_rejects(spark, folder)
+    assert rows(flights, "FlightNum", "ArrDelay") == [(1, 12), (2, None), (3, -4)]
+    assert flights.count() == 3 and rejects.count() == 2
+    assert rows(rejects, "line", "reason") == [
+        ("1,2008,5", "not 13 fields"), ("1,2008,5,9,WN,8,N1,A,B,1,1,0,note,more", "not 13 fields")]
+    assert all(r.file.endswith("airline.csv") for r in rejects.collect())
+    assert read_flight_rejects(spark, str(tmp_path / "none")).count() == 0
