@@ -28,6 +28,7 @@ MAX_LOST = 0.01  # share of the good documents, scored as unseen, that the cut m
 SCORE_STEPS = 10_000  # a nat, for the quantile only
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+MAP_BITS = 23  # bits of the map of good ids, as a power of two: 1 MB; changes the plan only
 LOOKED_UP = 32  # changes the plan only
 SYMBOLS = "#*$%&|<>"  # fixed
 
@@ -49,11 +50,34 @@ def good_documents(labels: DataFrame) -> DataFrame:
         F.col("doc_id").alias("good_id")).distinct()
 
 
+def _place(value: Column) -> Column:
+    return F.pmod(F.xxhash64(value.cast("string")), F.lit(1 << MAP_BITS))
+
+
+def _id_map(ids: DataFrame) -> DataFrame:
+    """One row with a bitmap of the hashes of ``good_id``: 2^MAP_BITS bits, whatever their number."""
+    cells = ids.groupBy(F.shiftright(_place(F.col("good_id")), 6).alias("cell")).agg(F.bit_or(
+        F.call_function("shiftleft", F.lit(1).cast("long"),
+                        _place(F.col("good_id")).bitwiseAND(63).cast("int"))).alias("bits"))
+    every = ids.sparkSession.range(1 << (MAP_BITS - 6)).withColumnRenamed("id", "cell")
+    return every.join(cells, "cell", "left").agg(F.transform(
+        F.sort_array(F.collect_list(F.struct("cell", F.coalesce("bits", F.lit(0)).alias("bits")))),
+        lambda c: c["bits"]).alias("map"))
+
+
 def good_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that some label calls good: their text."""
-    texts = docs.select(F.col("doc_id").alias("id"), "text")
+    """The rows of ``docs`` that some label calls good: their text.
+
+    Only rows whose id may be among the good ones are shuffled for the join."""
+    ids = stored(good_documents(labels), "quality-good-ids")
+    mapped = stored(_id_map(ids), "quality-good-map").scalar()
+    place = _place(F.col("id"))
+    maybe = F.call_function("shiftrightunsigned", F.get("map", F.shiftright(place, 6).cast("int")),
+                            place.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1
+    texts = docs.select(F.col("doc_id").alias("id"), "text", mapped.alias("map")).where(
+        maybe).select("id", "text")
     # labels cover a share of all documents, so they are never small where texts are many
-    return texts.join(good_documents(labels).hint("merge"), F.col("id") == F.col("good_id"),
+    return texts.join(ids.hint("merge"), F.col("id") == F.col("good_id"),
                       "left_semi").select("text")
 
 
@@ -72,8 +96,9 @@ def _bucket_counts(texts: DataFrame, name: str, buckets: int) -> DataFrame:
 
 def weights(docs: DataFrame, good: DataFrame, buckets: int = BUCKETS,
             alpha: float = ALPHA) -> DataFrame:
-    """One row with the log ratio and the target count of every bucket, in order, and the sum of
-    the latter; ``buckets`` bounds its size. ``good``: the texts of the target."""
+    """One row with the log ratio of every bucket, in order, the same with one occurrence less in
+    the target (``unseen``), the target counts and their sum; ``buckets`` bounds its size.
+    ``good``: the texts of the target."""
     counts = _bucket_counts(docs, "raw", buckets).join(
         _bucket_counts(good, "target", buckets), "bucket", "left")
     every = docs.sparkSession.range(buckets).select(F.col("id").cast("int").alias("bucket"))
@@ -83,33 +108,39 @@ def weights(docs: DataFrame, good: DataFrame, buckets: int = BUCKETS,
     ).agg(
         F.sum("raw").alias("all_raw"), F.sum("target").alias("all_target"),
         F.sort_array(F.collect_list(F.struct("bucket", "raw", "target"))).alias("counts"))
-    ratio = F.transform("counts", lambda x: (
-        F.log((x["target"] + alpha) / (F.col("all_target") + alpha * buckets))
-        - F.log((x["raw"] + alpha) / (F.col("all_raw") + alpha * buckets))))
+
+    def ratio(less: int) -> Column:
+        return F.transform("counts", lambda x: (
+            F.log((F.greatest(x["target"] - less, F.lit(0)) + alpha)
+                  / (F.col("all_target") + alpha * buckets))
+            - F.log((x["raw"] + alpha) / (F.col("all_raw") + alpha * buckets))))
+
     none = F.transform("counts", lambda x: F.lit(0.0))
-    return one.select(F.when(F.col("all_target") > 0, ratio).otherwise(none).alias("weights"),
-                      F.col("counts.target").alias("target"), "all_target")
+    some = F.col("all_target") > 0
+    return one.select(F.when(some, ratio(0)).otherwise(none).alias("weights"),
+                      F.when(some, ratio(1)).otherwise(none).alias("unseen"), F.col("counts.target").alias("target"), "all_target")
 
 
-def _own_share(grams: Column, n: Column, buckets: int, alpha: float) -> Column:
-    """What a text of the target adds to the sum of its weights by its own counts."""
-    zero = F.struct(F.lit(-1).alias("bucket"), F.lit(0).cast("long").alias("n"),
+def _own_repeats(grams: Column, alpha: float) -> Column:
+    """What a text of the target adds to the sum of its ``unseen`` weights by the n-grams that it
+    has more than once: for n occurrences n (log(seen - 1) - log(seen - n)), smoothed."""
+    zero = F.struct(F.lit(-1).alias("bucket"), F.lit(1).cast("long").alias("n"),
                     F.lit(0.0).alias("sum"))
 
     def closed(acc: Column) -> Column:
         seen = F.get("target", acc["bucket"])
-        return F.when(acc["n"] == 0, acc["sum"]).otherwise(acc["sum"] + acc["n"] * (
-            F.log(seen + alpha) - F.log(seen - acc["n"] + alpha)))
+        return F.when(acc["n"] == 1, acc["sum"]).otherwise(acc["sum"] + acc["n"] * (
+            F.log(seen - 1 + alpha) - F.log(seen - acc["n"] + alpha)))
 
     def step(acc: Column, bucket: Column) -> Column:
         same = acc["bucket"] == bucket
         return F.struct(bucket.alias("bucket"),
-                        F.when(same, acc["n"] + 1).otherwise(F.lit(1).cast("long")).alias("n"),
+                        F.when(same, acc["n"] + 1).otherwise(F.lit(2).cast("long")).alias("n"),
                         F.when(same, acc["sum"]).otherwise(closed(acc)).alias("sum"))
 
-    total = F.col("all_target") + alpha * buckets
-    return F.aggregate(F.sort_array(grams), zero, step, closed) + n * (
-        F.log(total - n) - F.log(total))
+    # without the first occurrence of each
+    again = let(F.sort_array(grams), lambda s: F.filter(s, lambda x, i: x == F.get(s, i - 1)))
+    return F.aggregate(again, zero, step, closed)
 
 
 def repeat_words(w: Column) -> Column:
@@ -159,9 +190,12 @@ def _measured(docs: DataFrame, table: DataFrame, buckets: int, alpha: float,
                      lambda line: F.trim(line, F.lit(SPACES)) != "")
 
     def scored(grams: Column, n: Column) -> Column:
-        total = F.aggregate(grams, F.lit(0.0), lambda a, b: a + F.get("weights", b))
+        name = "unseen" if unseen else "weights"
+        total = F.aggregate(grams, F.lit(0.0), lambda a, b: a + F.get(name, b))
         if unseen:
-            total = total - _own_share(grams, n, buckets, alpha)
+            words_left = F.col("all_target") + alpha * buckets
+            total = total - _own_repeats(grams, alpha) - n * (
+                F.log(words_left - n) - F.log(words_left))
         return total / n
 
     def counts(w: Column) -> Column:
@@ -174,7 +208,7 @@ def _measured(docs: DataFrame, table: DataFrame, buckets: int, alpha: float,
             (let(grams, lambda g: scored(g, n)) if unseen else scored(grams, n)).alias("score"))
 
     # the table is one value for the whole query: the optimizer puts it where it is used
-    needed = ("weights", "target", "all_target") if unseen else ("weights",)
+    needed = ("unseen", "target", "all_target") if unseen else ("weights",)
     source = docs.select(F.struct("*").alias("row"),
                          *(table.select(c).scalar().alias(c) for c in needed))
     # a generator, so that a filter on the result does not compute the counts again
