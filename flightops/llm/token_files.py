@@ -10,8 +10,8 @@ level, and with it any single id, is found without decoding its neighbours.
 Layout of a segment (little endian): ``n`` levels as uint32, then per level the number of
 entries (uint32), the entries, the bitmap and the directory (uint32 per block).
 
-Encoding keeps the ids of pieces and words that it has met; texts in which words could depend
-on their neighbours go to the tokenizer whole.
+Encoding remembers the ids of pieces between spaces, and encodes the new ones of some hundred
+texts together; texts in which words could depend on their neighbours go to the tokenizer whole.
 
 Defined results: null text is empty and gives the end id alone, null doc_ids come first,
 repeated rows are written as often as they occur, in equal places; an empty table gives no
@@ -21,10 +21,8 @@ segments.
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +35,8 @@ END_ID = 0
 SEGMENT_IDS = 1 << 20
 BLOCK = 512  # bits of a rank directory block
 REMEMBERED = 3 << 18  # pieces whose ids a task keeps
+TOGETHER = 256  # new pieces in a text
+LONG = 64  # characters from which on a piece is not remembered
 
 SEGMENT = ("first_id long, last_id long, part int, seq int, n_ids long, doc_ids array<long>, "
            "lengths array<long>, codes binary")
@@ -100,13 +100,11 @@ def unpack(codes: bytes) -> np.ndarray:
     return rest
 
 
-# In these texts the words that the tokenizer sees can be told by a plain pattern. Others are
+# In these texts a space begins a word of the tokenizer, whatever stands before it. Others are
 # encoded whole: special tokens, spaces that may join either neighbour, characters beyond
 # Latin-1, and characters whose class differs between libraries.
 _ODD = bytes([*range(0x1C, 0x20), 0x85, 0xA0, 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE])
 _ODD_SPACES = ("  ", " \n", " \t", " \r", " \v", " \f", "<|")
-_PARTS = re.compile(  # fixed: the words of the byte-level vocabulary
-    r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 
 
 def _is_plain(text: str) -> bool:
@@ -118,54 +116,67 @@ def _is_plain(text: str) -> bool:
         s in text for s in _ODD_SPACES)
 
 
+def _is_long(piece: str) -> bool:
+    return len(piece) > LONG
+
+
 class Encoder:
-    """Ids of texts as packed little-endian uint32, by the tokenizers library."""
+    """Ids of texts as packed little-endian uint32, by the tokenizers library.
+
+    The ids of a space and what follows it up to the next one are remembered, unless it is long.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces: dict[str, bytes] = {}  # a space and the piece
-        self.parts: dict[str, bytes] = {}  # other words of the tokenizer
+        # bytes of a token: its name has a character for each byte
+        names = self.tokenizer.get_vocab()
+        self.sizes = np.zeros(max(names.values()) + 1, np.int64)
+        self.sizes[list(names.values())] = list(map(len, names))
+        self.pieces: dict[str, bytes] = {}  # with a space before them
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [struct.pack(f"<{len(ids)}I", *ids) for ids in (e.ids for e in done)]
 
-    def _learn_letters(self, words: set[str]) -> None:
-        """A space and letters are one word of the tokenizer."""
-        new = list(words.difference(self.pieces))
-        self.pieces.update(zip(new, self._encode([" " + w for w in new])))
-
-    def _joined(self, texts: list[str]) -> list[bytes]:
-        """Ids of short texts, from those of their words."""
-        found = list(map(_PARTS.findall, texts))
-        words = set(chain.from_iterable(found))
-        letters = {w for w in words if w[0] == " " and w[1:].isalpha()}
-        self._learn_letters({w[1:] for w in letters})
-        words -= letters
-        new = list(words.difference(self.parts))
-        self.parts.update(zip(new, self._encode(new)))
-        known = {w: self.parts[w] for w in words} | {w: self.pieces[w[1:]] for w in letters}
-        return [b"".join(map(known.__getitem__, f)) for f in found]
+    def _learned(self, pieces: set[str]) -> dict[str, bytes]:
+        """Ids of new pieces, each with a space before it.
+
+        Many are encoded as one text, whose ids are cut where the bytes of the pieces end."""
+        fresh = {"": self._encode([" "])[0]} if "" in pieces else {}
+        new = list(filter(None, pieces))
+        if new:
+            texts = [" " + " ".join(new[at:at + TOGETHER]) for at in range(0, len(new), TOGETHER)]
+            packed = b"".join(self._encode(texts))
+            data = np.frombuffer("".join(texts).encode(), np.uint8)
+            ends = np.append(np.flatnonzero(data == ord(" "))[1:], len(data))
+            reached = np.cumsum(self.sizes[np.frombuffer(packed, "<u4")])
+            cuts = (4 * np.searchsorted(reached, ends) + 4).tolist()
+            fresh.update(zip(new, map(packed.__getitem__, map(slice, [0, *cuts], cuts))))
+        self.pieces.update(fresh)
+        for piece in filter(_is_long, pieces):
+            del self.pieces[piece]
+        return fresh
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if max(len(self.pieces), len(self.parts)) > REMEMBERED:
-            self.pieces, self.parts = {}, {}
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = {}
         whole = [i for i, t in enumerate(texts) if not _is_plain(t)]
         apart = set(whole)
         split = [[""] if i in apart else t.split(" ") for i, t in enumerate(texts)]
         # the first piece has no space before it
-        out = self._joined([p[0] for p in split])
-        split = [p[1:] for p in split]
-        new = set(chain.from_iterable(split)).difference(self.pieces)
-        letters = set(filter(str.isalpha, new))
-        self._learn_letters(letters)
-        others = list(new - letters)
-        self.pieces.update(zip(others, self._joined([" " + p for p in others])))
-        known = self.pieces.__getitem__
-        out = [a + b"".join(map(known, rest)) for a, rest in zip(out, split)]
+        first = list({p[0] for p in split})
+        starts = dict(zip(first, self._encode(first)))
+        known = self.pieces.get
+        found = [[starts[p[0]], *map(known, p[1:])] for p in split]
+        gaps = [[i for i, ids in enumerate(f) if ids is None] for f in found]
+        fresh = self._learned({p[i] for p, g in zip(split, gaps) for i in g})
+        for p, f, g in zip(split, found, gaps):
+            for i in g:
+                f[i] = fresh[p[i]]
+        out = list(map(b"".join, found))
         for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
             out[i] = ids
         return out

@@ -78,6 +78,22 @@ def test_encoder_equals_library(byte_level):
     assert [np.frombuffer(f, "<u4").tolist() for f in found] == [e.ids for e in want]
 
 
+def test_encoder_keeps_pieces(byte_level):
+    """Pieces that are met again, in other places, and long ones, which are not remembered."""
+    r = random.Random(2)
+    parts = ["a", "the", "é", "ß", "'s", "'", "1", "12", "!!", ".", "\n", "\n\n", "\t", "_", "x" * 70]
+    pieces = ["".join(r.choice(parts) for _ in range(r.randint(1, 5))) for _ in range(3000)]
+    pieces = [p for p in pieces if not p[0].isspace()]
+    texts = [" ".join(r.choices(pieces, k=r.randint(0, 30))) + r.choice(["", " ", "\n"])
+             for _ in range(4000)] + [" ", " a", "a "]
+    encoder = token_files.Encoder(BYTES)
+    found = [ids for at in range(0, len(texts), 100) for ids in encoder.encode(texts[at:at + 100])]
+    want = byte_level.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == [e.ids for e in want]
+    assert sum(map(token_files._is_plain, texts)) > 3900
+    assert max(map(len, encoder.pieces)) <= token_files.LONG
+
+
 def expected_digests(rows, byte_level):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     out, start = [], 0
