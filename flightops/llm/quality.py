@@ -30,7 +30,7 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAP_BITS = 23  # bits of the map of good ids, as a power of two: 1 MB; changes the plan only
 LOOKED_UP = 32  # changes the plan only
-SYMBOLS = "#*$%&|<>"  # fixed
+SYMBOLS = "[#*$%&|<>]"  # fixed
 
 
 def _bucket(*parts: Column, buckets: int) -> Column:
@@ -175,16 +175,10 @@ def repeat_words(w: Column) -> Column:
     return let(grams, covered)
 
 
-def _replace_all(text: Column, chars: str) -> Column:
-    for c in chars:
-        text = F.replace(text, F.lit(c), F.lit(""))
-    return text
-
-
 def _measured(docs: DataFrame, table: DataFrame, buckets: int, alpha: float,
               unseen: bool = False) -> DataFrame:
     """``row`` (all columns of ``docs``), the base counts, ``score`` and ``base_failed``; of texts
-    of the target the score without their own counts, if ``unseen``."""
+    of the target the score without their own counts, if ``unseen``, and only what it needs."""
     text = F.coalesce(F.col("row.text"), F.lit(""))
     lines = F.filter(F.split(text, "\n", -1),
                      lambda line: F.trim(line, F.lit(SPACES)) != "")
@@ -203,25 +197,25 @@ def _measured(docs: DataFrame, table: DataFrame, buckets: int, alpha: float,
         grams = _grams(w, buckets)
         return F.struct(
             F.size(w).cast("long").alias("n_words"),
-            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
             repeat_words(w).cast("long").alias("n_repeat_words"),
-            (let(grams, lambda g: scored(g, n)) if unseen else scored(grams, n)).alias("score"))
+            (let(grams, lambda g: scored(g, n)) if unseen else scored(grams, n)).alias("score"),
+            *([] if unseen else [
+                F.length(F.array_join(w, "")).cast("long").alias("word_chars")]))
 
     # the table is one value for the whole query: the optimizer puts it where it is used
     needed = ("unseen", "target", "all_target") if unseen else ("weights",)
     source = docs.select(F.struct("*").alias("row"),
                          *(table.select(c).scalar().alias(c) for c in needed))
     # a generator, so that a filter on the result does not compute the counts again
+    plain = {} if unseen else {
+        "n_symbols": F.regexp_count(text, F.lit(SYMBOLS)).cast("long"),
+        "n_dup_lines": let(
+            lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")}
     counted = source.select("row", F.inline(F.array(F.struct(
-        let(words(text), counts).alias("c"),
-        (F.length(text) - F.length(_replace_all(text, SYMBOLS))).cast("long")
-        .alias("n_symbols"),
-        let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long")
-        .alias("n_dup_lines")))))
+        let(words(text), counts).alias("c"), *(c.alias(n) for n, c in plain.items())))))
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return counted.select("row", "c.n_words", "c.word_chars", "n_symbols", "n_dup_lines",
-                          "c.n_repeat_words", "c.score").withColumn("base_failed", failed)
+    return counted.select("row", "c.*", *plain).withColumn("base_failed", failed)
 
 
 def cut(good: DataFrame, table: DataFrame, min_score: float = MIN_SCORE,
