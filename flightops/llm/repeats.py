@@ -11,6 +11,10 @@ form a run, about 2 / (L - k + 2) runs per symbol. Equal windows have equal name
    smallest document.
 3. for the other names each distinct text of a run is sent once, with the hashes of its
    windows, and single windows meet; the answer comes in the order of the question.
+   A name that may spell more than ``MANY`` texts (a frequent string in varying context, the
+   edges of a passage that many share) has no receiver of its own here: each batch sends its
+   distinct windows of such names once, to receivers chosen by the window. So a receiver
+   holds at most ``MANY`` texts of a name, and of a window one entry per batch.
 
 Every batch gets back only what concerns it and marks its documents. Batches are hash groups
 of documents of about 8 MB; their number, and that of the receivers, follows from the size of
@@ -18,7 +22,7 @@ the texts. What a batch sends is reduced within the batch first, so a passage th
 all documents share is one entry per batch. Entries travel in compressed blocks, one per pair of sender and receiver.
 
 A name is the number of its receiver and 40 more bits; texts of a run are told apart by 40
-bits and windows of a name by 48.
+bits and windows of a name by 48, or by 48 beside their receiver.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ from pyspark.sql import functions as F
 NO_ID = np.iinfo(np.int64).max  # a null doc_id comes after all others
 CHUNK = 1 << 18  # symbols that are hashed at a time
 BATCH_BYTES = 8 << 20
+MANY = 4096  # texts of a name from which its windows are spread; the result is the same
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -156,31 +161,37 @@ def _receivers(name: np.ndarray) -> list[tuple[int, slice]]:
 
 def _reduce(keys: list[np.ndarray], doc: np.ndarray, text: np.ndarray | None):
     """One entry per key, in order: (index of a member, smallest doc, flags). Flag 1: several
-    documents, flag 2: several texts."""
+    documents, flag 2: several texts, and above them the power of two that their number does
+    not exceed."""
     order, begins = _groups(*keys)
     docs = doc[order]
     smallest = np.minimum.reduceat(docs, begins)
     flags = (np.maximum.reduceat(docs, begins) != smallest).astype(np.uint64)
     if text is not None:
         texts = text[order]
-        flags |= (np.maximum.reduceat(texts, begins) != np.minimum.reduceat(
-            texts, begins)).astype(np.uint64) << _U(1)
+        several = np.maximum.reduceat(texts, begins) != np.minimum.reduceat(texts, begins)
+        flags |= several.astype(np.uint64) << _U(1)
+        size = np.diff(np.append(begins, len(order)))
+        power = np.ceil(np.log2(size)).astype(np.uint64)
+        flags |= np.where(several, power, _U(0)) << _U(2)
     return order[begins], smallest, flags
 
 
 def _meet(keys: list[np.ndarray], doc: np.ndarray, flags: np.ndarray,
-          text: np.ndarray | None = None):
+          text: np.ndarray | None = None, many: int = MANY):
     """For entries of all batches: the smallest document of the key, whether several
-    documents have it, and whether they spell several texts."""
+    documents have it, and whether they spell several texts (1) or maybe over ``many`` (2)."""
     order, begins = _groups(*keys)
     size = np.diff(np.append(begins, len(order)))
     docs, seen = doc[order], np.bitwise_or.reduceat(flags[order], begins)
     smallest = np.minimum.reduceat(docs, begins)
     shared = (np.maximum.reduceat(docs, begins) != smallest) | (seen & _U(1) > 0)
-    several = seen & _U(2) > 0
+    several = (seen & _U(2) > 0).astype(np.uint8)
     if text is not None:
         texts = text[order]
         several |= np.maximum.reduceat(texts, begins) != np.minimum.reduceat(texts, begins)
+        spelled = np.add.reduceat(_U(1) << (flags[order] >> _U(2)), begins)
+        several += several * (spelled > many)
     out = []
     for values in (smallest, shared, several):
         back = np.empty(len(order), values.dtype)
@@ -189,43 +200,52 @@ def _meet(keys: list[np.ndarray], doc: np.ndarray, flags: np.ndarray,
     return out
 
 
-def _meet_names(table: pa.Table) -> pa.Table:
+def _meet_names(table: pa.Table, many: int = MANY) -> pa.Table:
     parts = [_unpack(d, 5, 5, 1, 8) for d in table.column("data").to_pylist()]
     receiver = table.column("receiver")[0].as_py()
     key, text, flags, doc = (np.concatenate(c) for c in zip(*parts))
     doc = doc.view(np.int64)
-    first, shared, several = _meet([key], doc, flags, text)
+    first, shared, several = _meet([key], doc, flags, text, many)
     # a batch that only holds the first document needs a name only to spell its windows out
-    wanted = shared & (several | (doc != first) | (flags & _U(1) > 0))
+    wanted = shared & ((several > 0) | (doc != first) | (flags & _U(1) > 0))
     ends, rows = np.cumsum([len(p[0]) for p in parts]), []
     for batch, begin, end in zip(table.column("batch").to_pylist(), np.append(0, ends), ends):
         at = begin + np.flatnonzero(wanted[begin:end])
         if len(at):
             rows.append((receiver, batch, 1, _pack(
-                (key[at], 5), (several[at].astype(np.uint8), 1), (first[at], 8))))
+                (key[at], 5), (several[at], 1), (first[at], 8))))
     return _blocks(rows)
 
 
 def _meet_windows(table: pa.Table) -> pa.Table:
-    receiver, parts = table.column("receiver")[0].as_py(), []
-    for data in table.column("data").to_pylist():
+    receiver, by_name, spread = table.column("receiver")[0].as_py(), [], []
+    for batch, stage, data in zip(*(table.column(c).to_pylist() for c in (
+            "batch", "stage", "data"))):
+        if stage == 3:
+            spread.append((batch, _unpack(data, 6, 1, 8)))
+            continue
         cut = int.from_bytes(data[:4], "little")
         key, size, flags, doc = _unpack(data[4:cut], 5, 1, 1, 8)
         (window,) = _unpack(data[cut:], 6)
         size = size.astype(np.int64)
-        parts.append([np.repeat(key, size), window, np.repeat(flags, size),
-                      np.repeat(doc, size)])
-    key, window, flags, doc = (np.concatenate(c) for c in zip(*parts))
+        by_name.append((batch, [np.repeat(key, size), window, np.repeat(flags, size),
+                                np.repeat(doc, size)]))
+    return _blocks([(receiver, batch, stage, data)
+                    for stage, parts in ((2, by_name), (3, spread)) if parts
+                    for batch, data in _found(parts)])
+
+
+def _found(parts: list[tuple[int, list[np.ndarray]]]) -> Iterator[tuple[int, bytes]]:
+    """Answers to the entries of each batch, whose columns are keys, flags and document."""
+    *keys, flags, doc = (np.concatenate(c) for c in zip(*(columns for _, columns in parts)))
     doc = doc.view(np.int64)
-    first, shared, _ = _meet([key, window], doc, flags)
+    first, shared, _ = _meet(keys, doc, flags)
     hit = shared & ((doc != first) | (flags & _U(1) > 0))
-    ends, rows = np.cumsum([len(p[0]) for p in parts]), []
-    for batch, begin, end in zip(table.column("batch").to_pylist(), np.append(0, ends), ends):
+    ends = np.cumsum([len(columns[0]) for _, columns in parts])
+    for (batch, _), begin, end in zip(parts, np.append(0, ends), ends):
         if hit[begin:end].any():
-            rows.append((receiver, batch, 2, _two(
-                _pack((hit[begin:end].astype(np.uint8), 1)),
-                _pack((first[begin:end][hit[begin:end]], 8)))))
-    return _blocks(rows)
+            yield batch, _two(_pack((hit[begin:end].astype(np.uint8), 1)),
+                              _pack((first[begin:end][hit[begin:end]], 8)))
 
 
 def _two(a: bytes, b: bytes) -> bytes:
@@ -251,6 +271,7 @@ class _Names:
         order = np.argsort(columns[0])
         self.name = columns[0][order]
         self.several = columns[1][order] > 0
+        self.spread = columns[1][order] > 1
         self.first = columns[2][order].view(np.int64)
 
     def find(self, name: np.ndarray) -> np.ndarray:
@@ -263,9 +284,10 @@ class _Names:
 
 
 class _Spelled:
-    """The distinct texts of a batch's runs whose name spells several texts, in order."""
+    """The distinct texts of a batch's runs whose name spells several texts, in order of the
+    names; those of names whose windows are spread come last."""
 
-    def __init__(self, names: _Names, chunks, order: np.ndarray):
+    def __init__(self, names: _Names, chunks, order: np.ndarray, receivers: int):
         self.settled, self.runs = [], []  # (begin, size, first), (begin, name, text)
         found = []
         for offset, hashes, begins, last, name, text, doc in chunks:
@@ -287,15 +309,46 @@ class _Spelled:
         at, self.doc, self.flags = _reduce(
             [self.run_name, self.run_text], self.run_doc, None) if len(self.begin) else (
             np.zeros(0, np.int64), self.run_doc, self.run_name)
+        spread = names.spread[names.find(self.run_name[at])] if len(at) else np.zeros(0, bool)
+        moved = np.argsort(spread, kind="stable")
+        at, self.doc, self.flags = at[moved], self.doc[moved], self.flags[moved]
+        self.by_name = int((~spread).sum())
         self.name, self.text, self.size = (
             self.run_name[at], self.run_text[at], self.run_size[at])
         starts = np.cumsum(self.run_size) - self.run_size
         self.windows = windows[_spread(starts[at], self.size)]
         self.start = np.cumsum(self.size) - self.size
+        self._spread_windows(_U(receivers))
+
+    def _spread_windows(self, receivers: np.uint64) -> None:
+        """One entry per distinct window of the spread names, in order of their receivers."""
+        size = self.size[self.by_name:]
+        self.first_spread = len(self.windows) - int(size.sum())
+        key = _mix(self.windows[self.first_spread:] + np.repeat(
+            _mix(self.name[self.by_name:]), size))
+        to, key = key % receivers, key // receivers & _U((1 << 48) - 1)
+        order, begins = _groups(to, key)
+        self.entry = np.empty(len(order), np.int64)
+        self.entry[order] = np.repeat(
+            np.arange(len(begins)), np.diff(np.append(begins, len(order))))
+        self.to, self.key = to[order[begins]], key[order[begins]]
+        docs = np.repeat(self.doc[self.by_name:], size)[order]
+        flags = np.repeat(self.flags[self.by_name:], size)[order]
+        if not len(order):
+            self.key_doc, self.key_flags = docs, flags
+            return
+        self.key_doc = np.minimum.reduceat(docs, begins)
+        self.key_flags = np.bitwise_or.reduceat(flags, begins) | (
+            np.maximum.reduceat(docs, begins) != self.key_doc).astype(np.uint64)
+
+    def _parts(self) -> list[tuple[int, slice]]:
+        return _receivers(self.to << _U(_KEY))
 
     def blocks(self, batch: int) -> pa.Table:
-        rows = []
-        for receiver, part in _receivers(self.name):
+        rows = [(receiver, batch, 3, _pack(
+            (self.key[part], 6), (self.key_flags[part], 1), (self.key_doc[part], 8)))
+            for receiver, part in self._parts()]
+        for receiver, part in _receivers(self.name[:self.by_name]):
             begin, end = self.start[part.start], self.start[part.stop - 1] + self.size[
                 part.stop - 1]
             rows.append((receiver, batch, 2, _two(
@@ -307,15 +360,19 @@ class _Spelled:
     def answers(self, got: pa.Table) -> np.ndarray:
         """The first document of each window, or NO_ID."""
         first = np.full(len(self.windows), NO_ID, np.int64)
-        data = {r: d for r, s, d in zip(*(got.column(c).to_pylist() for c in (
-            "receiver", "stage", "data"))) if s == 2}
-        for receiver, part in _receivers(self.name):
-            if receiver in data:
-                cut = int.from_bytes(data[receiver][:4], "little")
-                (hit,) = _unpack(data[receiver][4:cut], 1)
-                (docs,) = _unpack(data[receiver][cut:], 8)
-                begin = self.start[part.start]
-                first[begin + np.flatnonzero(hit)] = docs.view(np.int64)
+        of_key = np.full(len(self.key), NO_ID, np.int64)
+        data = {(s, r): d for r, s, d in zip(*(got.column(c).to_pylist() for c in (
+            "receiver", "stage", "data"))) if s > 1}
+        asked = [((2, receiver), first, self.start[part.start])
+                 for receiver, part in _receivers(self.name[:self.by_name])]
+        asked += [((3, receiver), of_key, part.start) for receiver, part in self._parts()]
+        for question, out, begin in asked:
+            if question in data:
+                cut = int.from_bytes(data[question][:4], "little")
+                (hit,) = _unpack(data[question][4:cut], 1)
+                (docs,) = _unpack(data[question][cut:], 8)
+                out[begin + np.flatnonzero(hit)] = docs.view(np.int64)
+        first[self.first_spread:] = of_key[self.entry]
         return first
 
     def place(self) -> np.ndarray:
@@ -324,12 +381,14 @@ class _Spelled:
         order, begins = _groups(*both)
         group = np.empty(len(order), np.int64)
         group[order] = np.repeat(np.arange(len(begins)), np.diff(np.append(begins, len(order))))
-        return group[len(self.name):]
+        place = np.empty(len(begins), np.int64)
+        place[group[:len(self.name)]] = np.arange(len(self.name))
+        return place[group[len(self.name):]]
 
 
 def mark_repeats(docs: DataFrame, read: Callable, write: Callable, schema: str,
                  length: int, gram: int, batches: int | None = None,
-                 code: np.ndarray | None = None) -> DataFrame:
+                 code: np.ndarray | None = None, many: int = MANY) -> DataFrame:
     """Rows of ``write`` for all of ``docs`` (doc_id, text).
 
     ``read(texts)`` gives the symbols of all texts in a row and the number of symbols of
@@ -378,14 +437,14 @@ def mark_repeats(docs: DataFrame, read: Callable, write: Callable, schema: str,
         if not table.num_rows or not got.num_rows:
             return _blocks([])
         _, _, symbols, lengths, order = load(table)
-        spelled = _Spelled(_Names(got), chunks(symbols, lengths), order)
+        spelled = _Spelled(_Names(got), chunks(symbols, lengths), order, n)
         return spelled.blocks(table.column("batch")[0].as_py())
 
     def mark(table: pa.Table, got: pa.Table) -> pa.Table:
         ids, texts, symbols, lengths, order = load(table)
         first = np.full(len(symbols), NO_ID, np.int64)
         if got.num_rows and table.num_rows:
-            spelled = _Spelled(_Names(got), chunks(symbols, lengths), order)
+            spelled = _Spelled(_Names(got), chunks(symbols, lengths), order, n)
             for begin, size, earlier in spelled.settled:
                 first[_spread(begin, size)] = np.repeat(earlier, size)
             if len(spelled.begin):
@@ -399,9 +458,12 @@ def mark_repeats(docs: DataFrame, read: Callable, write: Callable, schema: str,
             reach[length:] -= reach[:-length].copy()
         return write(texts, ids, lengths, reach > 0, first)
 
+    def meet_names(table: pa.Table) -> pa.Table:
+        return _meet_names(table, many)
+
     by_batch = rows.groupBy("batch")
     names = by_batch.applyInArrow(send_names, _BLOCK).groupBy("receiver").applyInArrow(
-        _meet_names, _BLOCK)
+        meet_names, _BLOCK)
     singles = by_batch.cogroup(names.groupBy("batch")).applyInArrow(
         send_windows, _BLOCK).groupBy("receiver").applyInArrow(_meet_windows, _BLOCK)
     return by_batch.cogroup(names.unionByName(singles).groupBy("batch")).applyInArrow(

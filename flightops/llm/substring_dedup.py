@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from flightops.llm.repeats import NO_ID, mark_repeats, words_of
+from flightops.llm.repeats import MANY, NO_ID, mark_repeats, words_of
 
 WINDOW = 13
 GRAM = 5
@@ -63,7 +63,8 @@ def _write(keep_text: bool):
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM,
                     keep_text: bool = True,
-                    batches: int | None = None) -> DataFrame:
+                    batches: int | None = None, many: int = MANY) -> DataFrame:
     """One row per row of ``docs``: counts, removed spans in words, and ``kept``, the words
     that stay (``keep_text=False``: the SHA-256 of them)."""
-    return mark_repeats(docs, words_of, _write(keep_text), SCHEMA, window, gram, batches)
+    return mark_repeats(docs, words_of, _write(keep_text), SCHEMA, window, gram, batches,
+                        many=many)

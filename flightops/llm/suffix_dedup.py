@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from flightops.llm.repeats import BYTE_CODE, bytes_of, mark_repeats
+from flightops.llm.repeats import BYTE_CODE, MANY, bytes_of, mark_repeats
 
 THRESHOLD = 50
 FIRST = 24  # bytes compared in the first round
@@ -56,7 +56,7 @@ def _write(texts, ids, lengths, covered, first):
 
 
 def suffix_dedup(docs: DataFrame, threshold: int = THRESHOLD, first: int = FIRST,
-                 batches: int | None = None) -> DataFrame:
+                 batches: int | None = None, many: int = MANY) -> DataFrame:
     """One row per row of ``docs``: byte counts, removed spans and the hash of what stays."""
     return mark_repeats(docs, bytes_of, _write, SCHEMA, threshold, first, batches,
-                        BYTE_CODE)
+                        BYTE_CODE, many)

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from flightops.llm import repeats
 from flightops.llm.repeats import bytes_of, words_of
 from flightops.llm.substring_dedup import substring_dedup
 from flightops.llm.suffix_dedup import suffix_dedup
@@ -69,6 +70,50 @@ def test_words_and_bytes(spark, seed, batches):
                "n_spans", "kept_sha256") == expected_bytes(rows)
 
 
+@pytest.mark.parametrize("many", [0, 8])
+@pytest.mark.parametrize("batches", [1, 7])
+def test_spread_windows(spark, batches, many):
+    """Names of several texts whose windows are spread over the receivers."""
+    rows = made(4)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(substring_dedup(docs, batches=batches, many=many), "doc_id", "n_words",
+               "n_removed", "kept") == expected_words(rows)
+    assert got(suffix_dedup(docs, batches=batches, many=many), "doc_id", "n_bytes", "n_removed",
+               "n_spans", "kept_sha256") == expected_bytes(rows)
+
+
+def test_frequent_string_in_varying_context(spark):
+    """No receiver gets all windows around a string that every document holds."""
+    r, receivers = random.Random(6), 16
+    least = "the same line stands in every document"
+    texts = [f"{r.random()} {least} {r.random()}" for _ in range(600)]
+    symbols, lengths = bytes_of(texts)
+    order = np.arange(len(texts))
+    largest = {}
+    for many in (10 ** 6, 100):
+        chunks = list(repeats.Windows(50, 24, receivers).chunks(
+            symbols, lengths, repeats.BYTE_CODE))
+        name, text, doc = (np.concatenate([c[i] for c in chunks]) for i in (4, 5, 6))
+        at, smallest, flags = repeats._reduce([name], order[doc], text)
+        blocks = repeats._blocks([(receiver, 0, 1, repeats._pack(
+            (name[at][part], 5), (text[at][part], 5), (flags[part], 1), (smallest[part], 8)))
+            for receiver, part in repeats._receivers(name[at])]).to_pylist()
+        answers = [row for b in blocks for row in repeats._meet_names(
+            repeats.pa.Table.from_pylist([b], repeats._blocks([]).schema), many).to_pylist()]
+        got_back = repeats.pa.Table.from_pylist(answers, repeats._blocks([]).schema)
+        spelled = repeats._Spelled(repeats._Names(got_back), chunks, order, receivers)
+        assert spelled.blocks(0).num_rows
+        texts_of_name = np.unique(spelled.name[:spelled.by_name], return_counts=True)[1]
+        spread = np.bincount(spelled.to.astype(np.int64), minlength=receivers)
+        largest[many] = int(max(texts_of_name, default=0)), spread
+    assert largest[10 ** 6][0] >= 300 and not largest[10 ** 6][1].any()
+    assert largest[100][0] <= 100
+    assert largest[100][1].sum() > 5000 and largest[100][1].max() < 2 * largest[100][1].mean()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert got(suffix_dedup(docs, batches=5, many=100), "doc_id", "n_bytes", "n_removed",
+               "n_spans", "kept_sha256") == expected_bytes(list(enumerate(texts)))
+
+
 def test_other_lengths(spark):
     rows = made(3, 40)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
