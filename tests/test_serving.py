@@ -107,3 +107,11 @@ def test_response_shape(spark):
         "cascade_probability": 0.6, "cascade_prediction": 1, "risk_tier": "CRITICAL",
         "recommended_action": "do"}]
     assert body["model_version"] == "2.0" and body["timestamp"].endswith("Z")
+
+
+def test_bodies_are_parsed_once(spark):
+    """A filter on the error does not repeat the parser for the fields it reads."""
+    _, bad = split_bad_requests(parse_json_requests(requests(spark, "{", {"origin": "a"}, None)))
+    plan = bad._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    assert rows(bad, "RequestId") == [("r0",), ("r1",), ("r2",)]
