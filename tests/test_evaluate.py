@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from flightops.operators import evaluate as E
 from flightops.operators import features as X
 from flightops.operators import tiers as T
+from flightops.operators import training as L
 from tests.conftest import day, rows
 
 SCHEMA = f"{E.LABEL} int, {E.PRED} int, {E.SCORE} double"
@@ -137,3 +138,12 @@ def test_leakage_checks(spark):
     same_day = spark.createDataFrame([("a", "train", day(3), 1.0), ("b", "test", day(3), 2.0)],
                                      df.schema)
     assert T.leakage_checks(same_day, {}).filter("check = 'temporal_order'").first().status == "FAIL"
+
+
+def test_trees_do_not_depend_on_cached_node_ids(spark):
+    df = sample(spark, 400)[1].withColumns({"Hour": F.col(E.SCORE) * 10, "Month": F.col(E.PRED)}).cache()
+    small = {"maxIter": 3, "maxDepth": 4}
+    plain, cached = (L.train_cascade(df, ("Hour", "Month"), **small, **o).stages[1]
+                     for o in ({}, {"cacheNodeIds": True}))
+    assert not plain.getCacheNodeIds()  # an id per row at every level of every tree
+    assert plain.toDebugString.split("\n")[1:] == cached.toDebugString.split("\n")[1:]
