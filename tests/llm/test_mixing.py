@@ -94,3 +94,19 @@ def test_mix_rows(spark):
         assert r["n_chars"] == len(r["text"])
     assert have == want
     assert got(docs.where("1 = 0"), "doc_id") == []
+
+
+@pytest.mark.parametrize("cell_rows", [1 << 17, 16])
+def test_budget_ends_in_the_order_of_finish_times(spark, cell_rows):
+    """What is queued before the end fills the budget, in one range and in many."""
+    rows = [(i, "w " * (1 + i % 7), None if i % 50 == 0 else "abcdefg"[min(6, i % 30)])
+            for i in range(400)] + [(5, "w w", "f")] * 3
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert found(mixing.mix_sizes(docs, cell_rows=cell_rows)) == expected(rows)
+    times = mixing.virtual_times(docs, cell_rows=cell_rows)
+    end = mixing.budget_end(times, cell_rows=cell_rows).first()["end"]
+    given = {r["source_key"]: min(2 * r["source_size"], r["weight"] * end)
+             for r in times.collect()}
+    assert sum(given.values()) == pytest.approx(1.5 * sum(size(t) for _, t, _ in rows))
+    entries = mixing.queue(times).where("size > 0").collect()
+    assert {r["finish"] <= end for r in entries} == {True, False}
