@@ -198,3 +198,9 @@ def test_broken_sets_are_refused(spark, tmp_path, tables):
         part.unlink()
     with pytest.raises(sinks.BrokenSet):
         sinks.read_set(spark, path, first)
+
+
+def test_legs_carry_only_what_is_read(spark):
+    """Every walk shuffles the legs, so columns that nothing reads are left behind."""
+    legs = predictive.labelled_legs(table_flights(spark, SMALL))
+    assert set(legs.columns) == {*predictive.LEG_COLUMNS, "split"}

@@ -1,7 +1,7 @@
 import pytest
 
 from flightops.operators.clean import coerce_numeric, with_flight_date
-from flightops.sources import read_carriers, read_flight_rejects, read_flights
+from flightops.sources import read_carriers, read_flight_rejects, read_flights, tables
 from tests.conftest import day, rows
 
 HEADER = ("Month,Year,DayofMonth,CRSDepTime,UniqueCarrier,FlightNum,TailNum,Origin,Dest,ArrDelay,"
@@ -70,3 +70,15 @@ def test_malformed_lines_are_rejected(spark, folder, tmp_path):
         ("1,2008,5", "not 13 fields"), ("1,2008,5,9,WN,8,N1,A,B,1,1,0,note,more", "not 13 fields")]
     assert all(r.file.endswith("airline.csv") for r in rejects.collect())
     assert read_flight_rejects(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_lines_are_spread_before_they_widen(spark, monkeypatch):
+    """What is shuffled of a small table is the line, by its key and not by turns, which sorts."""
+    monkeypatch.setattr(tables, "remembered", lambda spark, name, sources, build: build())
+    monkeypatch.setattr(tables, "staged", lambda spark, name, build, sources: build())
+    flights = tables.table_flights(spark, "/root/testdata/sf0.001")
+    plan = flights._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Repartition")  # below the join
+    assert "RepartitionByExpression [l_orderkey" in plan
+    assert flights.count() == spark.read.parquet(
+        "/root/testdata/sf0.001/lineitem.parquet").count()
