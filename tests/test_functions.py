@@ -77,3 +77,15 @@ def test_size_shuffles_only_raises(spark, tmp_path, monkeypatch):
         assert int(spark.conf.get("spark.sql.shuffle.partitions")) > int(before)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_shuffles_are_sized_for_rows_in_memory(spark, monkeypatch):
+    """A leg takes about 250 bytes in a sort, its line under 18 in a file."""
+    kept = spark.conf.get("spark.sql.shuffle.partitions")
+    monkeypatch.setattr(session, "stored_bytes", lambda spark, sources: 1 << 30)
+    try:
+        session.size_shuffles(spark, ("any",))
+        parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        assert (1 << 30) / 18 * 250 / parts <= 128 << 20
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
