@@ -1,5 +1,6 @@
 """Token counts and token files against the tokenizer libraries."""
 
+import itertools
 import random
 import zlib
 
@@ -94,6 +95,31 @@ def test_encoder_keeps_pieces(byte_level):
     assert max(map(len, encoder.pieces)) <= token_files.LONG
 
 
+def test_encoder_is_bounded_and_keeps_what_is_met_again(byte_level, monkeypatch):
+    monkeypatch.setattr(token_files, "REMEMBERED", 200)
+    encoder = token_files.Encoder(BYTES)
+    learned, learn = [], encoder._learned
+    monkeypatch.setattr(encoder, "_learned", lambda words: learned.extend(words) or learn(words))
+    for n in range(40):
+        texts = [f"often met x{chr(97 + n % 26)}{chr(97 + n // 26)}{chr(97 + i)}" for i in range(26)]
+        found = encoder.encode(texts)
+        want = byte_level.encode_batch(texts, add_special_tokens=False)
+        assert [np.frombuffer(f, "<u4").tolist() for f in found] == [e.ids for e in want]
+        assert len(encoder.pieces) <= 100 and len(encoder.older) <= 100
+    assert learned.count(b"often") == 1
+    encoder.encode([" ".join(f"y{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(600))])
+    assert len(encoder.pieces) <= 100 and len(encoder.older) <= 100
+
+
+def test_words_of_plain_texts(byte_level):
+    """Contractions, white space at ends, stops between texts: all short sequences."""
+    parts = ["a", "'", "s", "re", "ll", " ", "\n", "\t", "7", "!", "é", "×"]
+    texts = ["".join(t) for n in range(5) for t in itertools.product(parts, repeat=n)]
+    found = token_files.Encoder(BYTES).encode(texts)
+    want = byte_level.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(f, "<u4").tolist() for f in found] == [e.ids for e in want]
+
+
 def expected_digests(rows, byte_level):
     rows = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
     out, start = [], 0
