@@ -140,3 +140,20 @@ def test_scans_of_a_walk(spark, hot_rows, scans):
     assert plan.count("parquet") == scans and plan.count("Join") == scans - 1
     if scans == 1:
         assert walked._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_spread_legs_carry_no_copies(spark):
+    """The exchange of a walk takes the legs as they are: no keys, no structs of neighbours."""
+    legs = spark.createDataFrame(
+        [(1, "N1", day(1), 600, 5, 6), (2, "N1", day(1), 700, 7, 8), (3, None, day(1), 600, 1, 1)],
+        "FlightId long, TailNum string, FlightDate date, CRSDepTime int, ArrDelay int, DepDelay int")
+    walked = R.walk_rotation(legs, previous=["ArrDelay", "DepDelay"], following=["CRSDepTime"],
+                             position="Place")
+    plan = walked._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1
+    below = plan.split("RepartitionByExpression")[1]
+    assert "_lone" in below and not any(s in below for s in ("struct", "_day", "_clock", "_tail"))
+    executed = walked._jdf.queryExecution().executedPlan().toString()
+    assert executed.count("Exchange") == 1
+    found = rows(walked, "FlightId", "_prev.ArrDelay", "_next.CRSDepTime", "Place")
+    assert found == [(1, None, 700, 1), (2, 5, None, 2), (3, None, None, 1)]
