@@ -115,6 +115,11 @@ def _train(spark, folder) -> DataFrame:
     return _legs(spark, folder).filter(F.col("split") == "train")
 
 
+def _timed(legs: DataFrame, *cols: str) -> DataFrame:
+    """What a time index orders by, and ``cols``: all columns would be shuffled and stored."""
+    return legs.select("FlightDate", "CRSDepTime", "FlightId", *cols)
+
+
 @_once
 def _prepared(spark, folder) -> Q.Prepared:
     return Q.prepare(table_flights(spark, folder), sources=_sources(folder))
@@ -365,12 +370,12 @@ def _(spark, folder):
 @query("win10_time_index_split_minutes")
 def _(spark, folder):
     # more ranges than minutes of a day, so that many a minute is cut
-    return P.with_time_index(_train(spark, folder), parts=256).select("FlightId", "TimeIndex")
+    return P.with_time_index(_timed(_train(spark, folder)), parts=256).select("FlightId", "TimeIndex")
 
 
 @query("win10_time_index")
 def _(spark, folder):
-    return P.with_time_index(_train(spark, folder)).select("FlightId", "TimeIndex")
+    return P.with_time_index(_timed(_train(spark, folder))).select("FlightId", "TimeIndex")
 
 
 # -- aggregates ----------------------------------------------------------------
@@ -790,12 +795,13 @@ def _(spark, folder):
 
 @query("ml02_time_series_folds")
 def _(spark, folder):
-    return P.fold_profile(P.time_series_folds(P.with_time_index(_train(spark, folder))))
+    return P.fold_profile(P.time_series_folds(P.with_time_index(_timed(_train(spark, folder)))))
 
 
 @query("ml03_cv_summary")
 def _(spark, folder):
-    folds = P.time_series_folds(P.with_time_index(_scored(spark, folder, "train")))
+    scored = _timed(_scored(spark, folder, "train"), E.LABEL, E.PRED, E.SCORE)
+    folds = P.time_series_folds(P.with_time_index(scored))
     summary = E.cv_summary(E.fold_metrics(folds))
     return _six(summary, *summary.columns)
 

@@ -63,3 +63,15 @@ def test_model_queries_fit_with_the_defaults(monkeypatch):
     monkeypatch.setattr(catalog.F, "col", lambda name: name)
     catalog._model(None, "folder")
     assert seen == [{}]
+
+
+@pytest.mark.parametrize("name", ["ml02_time_series_folds", "ml03_cv_summary", "win10_time_index",
+                                  "win10_time_index_split_minutes"])
+def test_time_index_orders_no_other_columns(spark, con, monkeypatch, name):
+    from flightops.plans import catalog
+
+    seen, index = [], catalog.P.with_time_index
+    monkeypatch.setattr(catalog.P, "with_time_index",
+                        lambda df, **given: seen.append(df.columns) or index(df, **given))
+    assert difference(queries()[name](spark, FOLDER), con, oracle_sql()[name]) is None
+    assert len(seen) == 1 and len(seen[0]) <= 6
