@@ -178,7 +178,11 @@ def links(distinct: DataFrame, many: int = MANY) -> DataFrame:
 
 def classes(edges: DataFrame, name: str = "simhash-stars", rounds: int = 64) -> DataFrame:
     """node and root (the smallest node of its class) for the nodes of ``edges`` (a, b)."""
+    def digest(links: DataFrame):
+        return links.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
+
     edges = stored(edges.select("a", "b"), name)
+    before = digest(edges)
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         # large star: a node's larger neighbours go to its smallest one
@@ -192,13 +196,12 @@ def classes(edges: DataFrame, name: str = "simhash-stars", rounds: int = 64) ->
             smallest.where("n > 1").select(F.col("b").alias("node"), "m"),
             F.col("b") == F.col("node")).where("a > m").select(
             F.col("m").alias("a"), F.col("a").alias("b"))
-        after = stored(smallest.select(F.col("m").alias("a"), "b").unionByName(
+        edges = stored(smallest.select(F.col("m").alias("a"), "b").unionByName(
             several).distinct(), name)
-        same = after.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first() \
-            == edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long"))).first()
-        edges = after
-        if same:
+        after = digest(edges)
+        if after == before:
             break
+        before = after
     else:
         raise RuntimeError(f"classes did not settle in {rounds} rounds")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))

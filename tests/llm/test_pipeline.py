@@ -1,12 +1,14 @@
 """The corpus pipeline, its SQL and its registration."""
 
+import gc
 import os
+import weakref
 
 import pytest
 
 import corpus_pipeline
 from __spark_entry__ import oracle_sql, queries
-from flightops.llm.common import documents, stored
+from flightops.llm.common import RECENT, documents, stored
 from flightops.llm.sql import oracle_sql as llm_sql
 from tests.compare import connect, difference
 from tests.llm.edges import no_docs, odd_docs
@@ -17,6 +19,23 @@ NAMES = ["quality rules", "simhash near-dedup", "benchmark decontamination", "so
          "token files"]
 
 
+def test_stored_frames_leave_the_driver(spark):
+    # the driver's memory must not grow with the frames that a session has stored
+    frames, tables = [], []
+    for n in range(RECENT + 8):
+        df = spark.range(1).selectExpr(f"id + {n} AS v")
+        tables.append(stored(df, "s"))
+        frames.append(weakref.ref(df))
+    last = df
+    del df
+    gc.collect()
+    assert sum(f() is not None for f in frames) <= RECENT
+    assert stored(last, "s") is tables[-1]
+    assert [t.first().v for t in tables] == list(range(RECENT + 8))  # what was stored stays
+    again = stored(spark.range(1).selectExpr("id + 0 AS v"), "s")
+    assert again is not tables[0] and again.first().v == 0
+
+
 def test_registered():
     names = [n for n in queries() if n.startswith("op")]
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
