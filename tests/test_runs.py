@@ -1,6 +1,7 @@
 """Whole runs on the small tables: descriptive tables, training, artifacts."""
 
 import json
+import time
 from pathlib import Path
 
 import pytest
@@ -121,6 +122,26 @@ def test_staged_tables_follow_their_sources(spark, tmp_path):
     assert table().count() == 8
 
 
+def test_stored_tables_leave_no_shuffle_files(spark):
+    """What a write shuffled is not kept beside the table; other jobs keep theirs as set."""
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def shuffled():
+        files = manager.getAllFiles()
+        names = {files.apply(i).getName() for i in range(files.size())}
+        return {n for n in names if n.startswith("shuffle_")}
+
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    known, setting = shuffled(), spark.conf.get(name)
+    counts = staged(spark, "counts", lambda: spark.range(0, 10_000, 1, 4).groupBy(
+        (F.col("id") % 1000).alias("key")).agg(F.sum("id").alias("total")))
+    end = time.time() + 10
+    while (left := shuffled() - known) and time.time() < end:
+        time.sleep(0.2)
+    assert not left and spark.conf.get(name) == setting
+    assert rows(counts)[7] == (7, sum(range(7, 10_000, 1000))) and counts.count() == 1000
+
+
 def test_remembered_results_follow_their_sources(spark, tmp_path, monkeypatch):
     source, built = f"{tmp_path}/in", []
 
